@@ -34,6 +34,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import schema_with
+
 #: Unicode White_Space without what Python adds to it; fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: The byte-level pre-splitter's pattern; fixed value.
@@ -264,7 +266,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     """Adds `ids` (array<int>) to all rows. A null text counts as empty and gives no ids."""
     if ids in docs.columns:
         raise ValueError(f"the column {ids} exists")
-    shared, schema = Shared(docs.sparkSession, tokenizer), docs.schema.add(ids, "array<int>")
+    shared, schema = Shared(docs.sparkSession, tokenizer), schema_with(docs, {ids: "array<int>"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(shared)
@@ -281,7 +283,7 @@ def decode(rows: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decod
     """Adds the decoded text to rows with ids; null ids give a null text."""
     if text in rows.columns:
         raise ValueError(f"the column {text} exists")
-    shared, schema = Shared(rows.sparkSession, tokenizer), rows.schema.add(text, "string")
+    shared, schema = Shared(rows.sparkSession, tokenizer), schema_with(rows, {text: "string"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(shared)
