@@ -10,9 +10,9 @@ arrivals are later than what all places hold.
 1. Documents with the same shingles collapse to one representative; only representatives go on.
 2. Signatures are cut into bands; representatives that share a band meet in a bucket.
 3. Buckets are compared with hubs, not in pairs: every member is verified against the bucket's hub,
-   and links join components. Then members of different components of a bucket, if any, are verified
-   against new hubs, until few are left, and these are verified with each other. Pairs inside a
-   component need no verification, as they can't change the classes.
+   and links join components. Members of different components are verified against new hubs as long
+   as they form many pairs; then all pairs left are verified. Pairs inside a component need no
+   verification, as they can't change the classes.
 4. Verification computes the exact similarity (Jaccard of the sets of shingles) from the texts.
 
 Classes are the components of all links. Texts shorter than a shingle are one shingle; texts without a
@@ -136,11 +136,25 @@ def sketch(docs: DataFrame, words: int, places: int, rows: int) -> DataFrame:
     return rows_.mapInArrow(run, f"doc_id long, {'number long, ' * numbered}digest binary, bands array<long>, sig binary, packed binary")
 
 
+def likely(pairs: DataFrame, reps: DataFrame, least: float, places: int) -> DataFrame:
+    """The pairs whose signatures don't rule them out: agreement over five standard deviations under the least similarity does."""
+    bound = least - 5.5 * (least * (1 - least) / places) ** 0.5
+    signed = reps.select("rep", "sig")
+    both = pairs.join(signed.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(signed.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u2").reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array((x == y).mean(1) >= bound))
+
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, reps: DataFrame, words: int, least: float, places: int) -> DataFrame:
-    """The pairs (a, b) whose exact similarity is `least` or more. A pair whose signatures agree far less is decided by them: at half
-    the least similarity, over six standard deviations off with 80 places."""
-    signed = reps.select("rep", "sig", "packed")
-    both = pairs.join(signed.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("packed").alias("packed_a")), "a").join(signed.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("packed").alias("packed_b")), "b")
+    """The pairs (a, b) whose exact similarity is `least` or more."""
+    texts = reps.select("rep", "packed")
+    both = likely(pairs, reps, least, places).join(texts.select(F.col("rep").alias("a"), F.col("packed").alias("packed_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("packed").alias("packed_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, unpack = Hasher(), zstandard.ZstdDecompressor().decompress
@@ -156,13 +170,10 @@ def verified(pairs: DataFrame, reps: DataFrame, words: int, least: float, places
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 d = batch.slice(start, 1000).to_pydict()
-                keep = []
-                for a, b, x, y, p, q in zip(d["a"], d["b"], d["sig_a"], d["sig_b"], d["packed_a"], d["packed_b"], strict=True):
-                    agree = (np.frombuffer(x, "u2") == np.frombuffer(y, "u2")).mean()
-                    keep.append(agree >= least / 2 and similarity(shingles(a, p), shingles(b, q)) >= least)
+                keep = [similarity(shingles(a, p), shingles(b, q)) >= least for a, b, p, q in zip(d["a"], d["b"], d["packed_a"], d["packed_b"], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([z for z, k in zip(d[c], keep, strict=True) if k], pa.int64()) for c in ("a", "b")], ["a", "b"])
 
-    return both.select("a", "b", "sig_a", "sig_b", "packed_a", "packed_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "packed_a", "packed_b").mapInArrow(run, "a long, b long")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -181,64 +192,64 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(touched.join(labels, "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
 
 
-def classes(docs: DataFrame, words: int = WORDS, least: float = LEAST, places: int = PLACES, rows: int = ROWS, few: float = 0.2) -> DataFrame:
+def classes(docs: DataFrame, words: int = WORDS, least: float = LEAST, places: int = PLACES, rows: int = ROWS, many: float = 8.0) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class), class_size, kept (whether it is the row of its class
-    that stays). `few`: pairs per representative that are verified at once."""
+    that stays). `many`: pairs per representative up to which buckets' open pairs are all verified at once."""
     sketched = cut(sketch(docs.select("doc_id", "text"), words, places, rows).withColumn("number", F.monotonically_increasing_id()))
-    return of_sketches(sketched, words, least, places, few).drop("number")
+    return of_sketches(sketched, words, least, places, many).drop("number")
 
 
-def survivors(docs: DataFrame, words: int = WORDS, least: float = LEAST, places: int = PLACES, rows: int = ROWS, few: float = 0.2) -> DataFrame:
+def survivors(docs: DataFrame, words: int = WORDS, least: float = LEAST, places: int = PLACES, rows: int = ROWS, many: float = 8.0) -> DataFrame:
     """The rows that stay, with their columns."""
     numbered = cut(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*docs.columns).alias("row")))
     texts = numbered.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "number")
     sketched = cut(sketch(texts, words, places, rows))
-    kept = of_sketches(sketched, words, least, places, few).filter("kept").select("number")
+    kept = of_sketches(sketched, words, least, places, many).filter("kept").select("number")
     return numbered.join(kept, "number", "left_semi").select("row.*")
 
 
-def of_sketches(sketched: DataFrame, words: int, least: float, places: int, few: float) -> DataFrame:
+def of_sketches(sketched: DataFrame, words: int, least: float, places: int, many: float) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "number")
     named = sketched.filter("digest is not null")
     firsts = named.groupBy("digest").agg(F.min(order).alias("first")).select("digest", F.col("first.number").alias("rep"))
     heads = firsts.select(F.col("rep").alias("number"))
-    reps = cut(named.join(heads, "number", "left_semi").select(F.col("number").alias("rep"), "bands", "sig", "packed"))
-    members = reps.select("rep", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").count().filter("count > 1").select("band")
-    members = cut(members.join(shared, "band"))
-    total = reps.count()
+    reps = named.join(heads, "number", "left_semi").select(F.col("number").alias("rep"), "bands", "sig", "packed")
+    banded = reps.select("rep", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").count().filter("count > 1").select("band")
+    members = cut(banded.join(shared, "band"))  # buckets of two or more
     met = members.select("rep").distinct()
-    labelled = members.withColumn("component", F.col("rep"))
-    links = None
-    for turn in range(1000):
-        #: a bucket's hub: one of its members, another one each time
-        hub = F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(turn)))
-        pairs = open_pairs(labelled, hub, turn)
+    reps = cut(reps.select("rep", "sig", "packed").join(met, "rep", "left_semi"))
+    total = reps.count()
+    labelled, links, turn = members.withColumn("component", F.col("rep")), None, 0
+    done = False
+    while not done:
+        done = turn > 0 and pairs_left(labelled) <= many * (total + 25_000)
+        pairs = exhaustive(labelled) if done else hub_pairs(labelled, turn)
         new = cut(verified(pairs, reps, words, least, places))
         links = new if links is None else links.union(new)
         component = cut(components(met, links))
-        labelled = cut(members.join(component, "rep"))
-        left = labelled.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("component").alias("k")).filter("k > 1").agg(F.sum(F.col("n") * (F.col("k") - 1))).first()[0] or 0
-        if not left:
-            break
-        if left <= few * total + 10_000:
-            rest = exhaustive(labelled)
-            new = cut(verified(rest, reps, words, least, places))
-            component = cut(components(met, links.union(new)))
-            break
+        labelled = members.join(component, "rep") if done else cut(members.join(component, "rep"))
+        turn += 1
     return finished(sketched, firsts, component)
 
 
-def open_pairs(labelled: DataFrame, hub: Column, turn: int) -> DataFrame:
-    """Members with the hub of their bucket, where that is of another component."""
-    hubs = labelled.groupBy("band").agg(hub.alias("hub"))
+def pairs_left(labelled: DataFrame) -> int:
+    """How many pairs of different components buckets hold."""
+    parts = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    squares = parts.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+    return int(squares.agg(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2)).first()[0] or 0)
+
+
+def hub_pairs(labelled: DataFrame, turn: int) -> DataFrame:
+    """Members with the hub of their bucket, where that is of another component; the hub is another member each time."""
+    hubs = labelled.groupBy("band").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(turn))).alias("hub"))
     pairs = labelled.join(hubs, "band").filter("hub.component <> component")
     return pairs.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
 
 
 def exhaustive(labelled: DataFrame) -> DataFrame:
-    """All pairs of different components that share a bucket: only where few are left."""
-    mixed_ = labelled.groupBy("band").agg(F.countDistinct("component").alias("k")).filter("k > 1").select("band")
+    """All pairs of different components that share a bucket: where they aren't many."""
+    mixed_ = labelled.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("band")
     open_ = labelled.join(mixed_, "band")
     other = open_.select("band", F.col("rep").alias("b"), F.col("component").alias("d"))
     return open_.join(other, "band").filter("component < d").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
