@@ -21,12 +21,15 @@ Texts are lower-cased in A to Z. Null text counts as empty. With no training tex
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +37,7 @@ from .common import cut, remainder
 
 DEPTH = 5
 #: Bytes of text in a block, on average.
-BLOCK = 8 << 20
+BLOCK = 32 << 20
 END = b"\xff"  # never a byte of UTF-8
 STEP = 1 << 21  # bytes that are worked on at once
 
@@ -186,6 +189,32 @@ def tokens(text: bytes) -> list[bytes]:
     return text.split()  # at ASCII white space, as bytes do
 
 
+def packed_blocks(rows: DataFrame) -> DataFrame:
+    """(block, docs): rows of a block that stand together in a batch, lower-cased and compressed together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            where: dict[int, list[int]] = {}
+            for i, block in enumerate(b.column("block").to_pylist()):
+                where.setdefault(block, []).append(i)
+            ids, learn, text = b.column("doc_id").to_pylist(), b.column("learn").to_pylist(), b.column("text").to_pylist()
+            out = [pack(pickle.dumps(([ids[i] for i in at], [learn[i] for i in at], [text[i].encode().lower() for i in at]))) for at in where.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(where), pa.int64()), pa.array(out, pa.binary())], ["block", "docs"])
+
+    return rows.mapInArrow(run, "block long, docs binary")
+
+
+def opened(docs: pd.Series) -> tuple[list, list[bool], list[bytes]]:
+    """Ids, whether they teach, and texts of a block's documents."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    out: tuple[list, list, list] = ([], [], [])
+    for x in docs:
+        for have, more in zip(out, pickle.loads(unpack(x)), strict=True):
+            have += more
+    return out
+
+
 def score(docs: DataFrame, learn: Column, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     """Scores all documents: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     if depth < 2:
@@ -196,17 +225,20 @@ def score(docs: DataFrame, learn: Column, depth: int = DEPTH, block: int = BLOCK
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
 
     def count(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
-        texts, train = [t.encode().lower() for t in docs["text"]], docs["learn"].tolist()
+        _, train, texts = opened(docs["docs"])
         codes, n = ngrams(texts, train, depth)
         part, out = part_of(codes, parts), []
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(parts + 1))
         words: Counter = Counter()
+        others: set[bytes] = set()
         for t, x in zip(texts, train, strict=True):
             if x:
                 words.update(tokens(t))
             else:
-                words.update(dict.fromkeys(set(tokens(t)) - words.keys(), 0))
+                others.update(tokens(t))
+        for w in others:
+            words.setdefault(w, 0)
         dealt: list[list] = [[] for _ in range(parts)]
         for w in words:
             dealt[zlib.crc32(w) % parts].append(w)
@@ -215,7 +247,8 @@ def score(docs: DataFrame, learn: Column, depth: int = DEPTH, block: int = BLOCK
             out.append((key[0], p, packed(codes[i]), n[i].astype("u4").tobytes(), b" ".join(dealt[p]), np.array([words[w] for w in dealt[p]], "u4").tobytes()))
         return pd.DataFrame(out, columns=["block", "part", "codes", "n", "words", "c"])
 
-    gathered = cut(rows.groupBy("block").applyInPandas(count, "block long, part int, codes binary, n binary, words binary, c binary"))
+    packed_docs = packed_blocks(rows)
+    gathered = cut(packed_docs.groupBy("block").applyInPandas(count, "block long, part int, codes binary, n binary, words binary, c binary"))
 
     def trees(docs: pd.DataFrame) -> tuple[Trees, np.ndarray, list[np.ndarray]]:
         lists = [unpacked(x) for x in docs["codes"]]
@@ -259,7 +292,8 @@ def score(docs: DataFrame, learn: Column, depth: int = DEPTH, block: int = BLOCK
         codes, logs = codes[order], logs[order]
         value = {w: math.log10((x + 0.5) / scale) for words, c in zip(got["words"], got["c"], strict=True) if words for w, x in zip(words.split(b" "), np.frombuffer(c, "i8").tolist(), strict=True) if x}
         unseen, end = math.log10(0.5 / scale), math.log10((ends + 0.5) / scale)
-        texts, n, known, base, scores = [t.encode().lower() for t in docs["text"]], [], [], [], []
+        ids, learned, texts = opened(docs["docs"])
+        n, known, base, scores = [], [], [], []
         for t in texts:
             words = tokens(t)
             hits = [x for x in map(value.get, words) if x is not None]
@@ -268,10 +302,11 @@ def score(docs: DataFrame, learn: Column, depth: int = DEPTH, block: int = BLOCK
             base.append(math.fsum(hits) + (len(words) - len(hits)) * unseen + end)
         for step in in_steps(texts):
             code, starts = windows(step, depth)
-            scores.append(np.add.reduceat(logs[np.searchsorted(codes, code)], starts))
-        return pd.DataFrame({"doc_id": docs["doc_id"], "held_out": ~docs["learn"], "n_tokens": n, "n_known": known, "train_tokens": total, "base_score": base, "score": np.concatenate(scores)})
+            distinct, where = np.unique(code, return_inverse=True)
+            scores.append(np.add.reduceat(logs[np.searchsorted(codes, distinct)][where], starts))
+        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "held_out": [not x for x in learned], "n_tokens": n, "n_known": known, "train_tokens": total, "base_score": base, "score": np.concatenate(scores)})
 
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return packed_docs.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def scores(docs: DataFrame) -> DataFrame:

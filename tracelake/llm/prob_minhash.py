@@ -11,7 +11,7 @@ arrivals are later than what all places hold.
 2. Signatures are cut into bands; representatives that share a band meet in a bucket.
 3. Buckets are compared with hubs, not in pairs: every member is verified against the bucket's hub,
    and links join components. Members of different components are verified against new hubs as long
-   as they form many pairs; then all pairs left are verified. Pairs inside a component need no
+   as they form many pairs and hubs lessen them; then all pairs left are verified. Pairs inside a component need no
    verification, as they can't change the classes.
 4. Verification computes the exact similarity (Jaccard of the sets of shingles) from the texts.
 
@@ -192,23 +192,24 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(touched.join(labels, "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
 
 
-def classes(docs: DataFrame, words: int = WORDS, least: float = LEAST, places: int = PLACES, rows: int = ROWS, many: float = 8.0) -> DataFrame:
+def classes(docs: DataFrame, words: int = WORDS, least: float = LEAST, places: int = PLACES, rows: int = ROWS, many: float = 8.0, shrink: float = 0.7) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class), class_size, kept (whether it is the row of its class
-    that stays). `many`: pairs per representative up to which buckets' open pairs are all verified at once."""
+    that stays). `many`: pairs per representative up to which buckets' open pairs are all verified
+    at once; they are, too, as soon as a round of hubs leaves over the share `shrink` of them."""
     sketched = cut(sketch(docs.select("doc_id", "text"), words, places, rows).withColumn("number", F.monotonically_increasing_id()))
-    return of_sketches(sketched, words, least, places, many).drop("number")
+    return of_sketches(sketched, words, least, places, many, shrink).drop("number")
 
 
-def survivors(docs: DataFrame, words: int = WORDS, least: float = LEAST, places: int = PLACES, rows: int = ROWS, many: float = 8.0) -> DataFrame:
+def survivors(docs: DataFrame, words: int = WORDS, least: float = LEAST, places: int = PLACES, rows: int = ROWS, many: float = 8.0, shrink: float = 0.7) -> DataFrame:
     """The rows that stay, with their columns."""
     numbered = cut(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*docs.columns).alias("row")))
     texts = numbered.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "number")
     sketched = cut(sketch(texts, words, places, rows))
-    kept = of_sketches(sketched, words, least, places, many).filter("kept").select("number")
+    kept = of_sketches(sketched, words, least, places, many, shrink).filter("kept").select("number")
     return numbered.join(kept, "number", "left_semi").select("row.*")
 
 
-def of_sketches(sketched: DataFrame, words: int, least: float, places: int, many: float) -> DataFrame:
+def of_sketches(sketched: DataFrame, words: int, least: float, places: int, many: float, shrink: float) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "number")
     named = sketched.filter("digest is not null")
     firsts = named.groupBy("digest").agg(F.min(order).alias("first")).select("digest", F.col("first.number").alias("rep"))
@@ -221,9 +222,12 @@ def of_sketches(sketched: DataFrame, words: int, least: float, places: int, many
     reps = cut(reps.select("rep", "sig", "packed").join(met, "rep", "left_semi"))
     total = reps.count()
     labelled, links, turn = members.withColumn("component", F.col("rep")), None, 0
-    done = False
+    done, before = False, None
     while not done:
-        done = turn > 0 and pairs_left(labelled) <= many * (total + 25_000)
+        if turn:
+            left = pairs_left(labelled)
+            done = left <= many * (total + 25_000) or before is not None and left > shrink * before
+            before = left
         pairs = exhaustive(labelled) if done else hub_pairs(labelled, turn)
         new = cut(verified(pairs, reps, words, least, places))
         links = new if links is None else links.union(new)
