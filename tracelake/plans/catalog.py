@@ -4,7 +4,227 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tracelake.functions import scalar as S
+from tracelake.operators import graph as G
+from tracelake.operators import patterns as P
+from tracelake.sources import calls, persons, table, transfers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+TX = """tx AS (SELECT o_custkey AS src, l_suppkey AS dst, l_extendedprice * (1 - l_discount) AS amount, CAST(epoch(l_shipdate) AS BIGINT) AS seconds,
+    l_orderkey AS evidence, l_linenumber AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+CALLS = """calls AS (SELECT user_id AS src, CAST(json_extract_string(props, '$.k') AS BIGINT) AS dst, epoch_us(ts) AS micros, value AS duration, event_id AS evidence, event_type FROM events)"""
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"""WITH {TX}, w AS (SELECT *, sum(CASE WHEN amount < 50000 THEN 1 ELSE 0 END) OVER r AS n, round(sum(amount) OVER r, 2) AS tot FROM tx
+    WINDOW r AS (PARTITION BY src, dst ORDER BY seconds RANGE BETWEEN CURRENT ROW AND 2592000 FOLLOWING)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY seconds, evidence, line) AS k FROM w WHERE n >= 2 AND tot >= 50000)
+    SELECT src, dst, CAST(n AS BIGINT) AS small_transfers, tot AS window_total, round(0.4 + 0.3 * least(1.0, n / 2.0) + 0.3 * least(1.0, tot / 50000.0), 4) AS confidence, seconds FROM k WHERE k = 1""")
+def structuring_pairs(spark, d):
+    return P.structuring(transfers(spark, d), 2, 30, 50_000, 50_000)
+
+
+@query(f"""WITH {TX} SELECT src, dst, count(*) AS n, CAST(sum(CAST(round(amount * 10000) AS BIGINT)) AS BIGINT) AS total_e4, min(seconds) AS first, max(seconds) AS last, count(DISTINCT evidence) AS docs FROM tx GROUP BY ALL""")
+def transfer_pairs(spark, d):
+    return transfers(spark, d).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("amount") * 10000).cast("long")).alias("total_e4"), F.min("seconds").alias("first"), F.max("seconds").alias("last"), F.countDistinct("evidence").alias("docs"))
+
+
+@query(f"""WITH {TX}, u AS (SELECT 'P' || src AS account, seconds FROM tx UNION ALL SELECT 'O' || dst, seconds FROM tx),
+    w AS (SELECT *, count(*) OVER (PARTITION BY account ORDER BY seconds RANGE BETWEEN CURRENT ROW AND 604800 FOLLOWING) AS n FROM u),
+    k AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY n DESC, seconds) AS k FROM w WHERE n >= 5)
+    SELECT account, n AS events, seconds AS start FROM k WHERE k = 1""")
+def financial_flow(spark, d):
+    t = transfers(spark, d)
+    both = t.select(F.concat(F.lit("P"), F.col("src")).alias("account"), "seconds").union(t.select(F.concat(F.lit("O"), F.col("dst")), "seconds"))
+    return P.burst(both, ["account"], "seconds", 7 * P.DAY, 5)
+
+
+@query(f"""WITH {CALLS}, w AS (SELECT src, dst, micros, count(*) OVER (PARTITION BY src, dst ORDER BY micros RANGE BETWEEN CURRENT ROW AND 172800000000 FOLLOWING) AS n FROM calls),
+    k AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY n DESC, micros) AS k FROM w WHERE n >= 2) SELECT src, dst, n AS events, micros AS start FROM k WHERE k = 1""")
+def temporal_burst(spark, d):
+    return P.burst(calls(spark, d), ["src", "dst"], "micros", 2 * P.DAY * 1_000_000, 2)
+
+
+@query(f"""WITH {CALLS}, b AS (SELECT src AS phone, dst AS other, micros FROM calls UNION ALL SELECT dst, src, micros FROM calls)
+    SELECT phone, count(DISTINCT other) AS counterparties, count(*) AS calls, min(micros) AS first, max(micros) AS last FROM b GROUP BY phone""")
+def phone_profile(spark, d):
+    return P.phone_profile(calls(spark, d))
+
+
+@query(f"""WITH {CALLS}, e AS (SELECT * FROM calls WHERE event_type = 'signup' AND src > 100), b AS (SELECT src AS phone, dst AS other, micros FROM e UNION ALL SELECT dst, src, micros FROM e),
+    p AS (SELECT phone, count(DISTINCT other) AS counterparties, count(*) AS calls, round((max(micros) - min(micros)) / 86400000000.0, 4) AS lifespan_days FROM b GROUP BY phone)
+    SELECT * FROM p WHERE lifespan_days <= 30 AND counterparties >= 2""")
+def burner_phones(spark, d):
+    return P.burner_phones(calls(spark, d).filter("event_type = 'signup' AND src > 100"), 30, 2)
+
+
+@query(f"""WITH {CALLS}, p AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM calls WHERE src <> dst GROUP BY ALL), s AS (SELECT avg(n) AS m, stddev_pop(n) AS sd FROM p)
+    SELECT a, b, n, round((n - m) / sd, 4) AS z FROM p, s WHERE n >= 2 AND (n - m) / sd >= 2""")
+def communication_anomalies(spark, d):
+    return P.communication_anomalies(calls(spark, d), 2, 2.0)
+
+
+@query(f"""WITH {CALLS} SELECT src, dst, count(*) AS call_count, round(sum(duration), 2) AS duration, min(micros) AS first, max(micros) AS last FROM calls GROUP BY src, dst""")
+def call_edges(spark, d):
+    c = calls(spark, d).select("src", "dst", "micros", "duration", "evidence")
+    return G.upsert_calls(c, c)  # merged twice: evidence counts once
+
+
+@query(f"""WITH {TX}, e AS (SELECT DISTINCT 'P' || src AS src, 'O' || dst AS dst FROM tx), b AS (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e)
+    SELECT node, sum(i) AS in_degree, sum(o) AS out_degree, count(*) AS degree FROM b GROUP BY node""")
+def degrees(spark, d):
+    return G.degrees(_bipartite(spark, d))
+
+
+def _bipartite(spark, d):
+    return transfers(spark, d).select(F.concat(F.lit("P"), F.col("src")).alias("src"), F.concat(F.lit("O"), F.col("dst")).alias("dst"), F.col("seconds").alias("at"), "amount")
+
+
+@query(f"""WITH {TX}, g AS (SELECT src AS node, count(DISTINCT dst) AS degree FROM tx GROUP BY src)
+    SELECT node, degree, round(100 * ((rank() OVER (ORDER BY degree) - 1) + 0.5 * count(*) OVER (PARTITION BY degree)) / count(*) OVER (), 4) AS percentile FROM g""")
+def degree_percentiles(spark, d):
+    g = transfers(spark, d).groupBy(F.col("src").alias("node")).agg(F.countDistinct("dst").alias("degree"))
+    return G.percentiles(g, "node", "degree")
+
+
+@query(f"""WITH {TX} SELECT src, dst, round(greatest(0.01, least(1.0, max(round(amount)) / 100000)), 6) AS weight, count(*) AS n FROM tx GROUP BY src, dst""")
+def collapsed_edges(spark, d):
+    return G.collapse(transfers(spark, d), F.round("amount") / 100000)
+
+
+@query(f"""WITH {CALLS}, b AS (SELECT src AS node, dst AS t FROM calls UNION SELECT dst, src FROM calls), h0 AS (SELECT 1 AS node), h1 AS (SELECT DISTINCT t AS node FROM b JOIN h0 USING (node) WHERE t <> 1),
+    h2 AS (SELECT DISTINCT t AS node FROM b JOIN h1 USING (node) WHERE t <> 1 AND t NOT IN (SELECT node FROM h1))
+    SELECT CAST(1 AS BIGINT) AS node, 0 AS hops UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2""")
+def expand_two_hops(spark, d):
+    root = spark.range(1, 2).select(F.col("id").alias("node"))
+    return G.expand(calls(spark, d), root, 2)
+
+
+@query(f"""WITH {CALLS}, p AS (SELECT x.src AS a, x.dst AS b, y.dst AS c, x.micros AS s, y.micros AS e FROM calls x JOIN calls y ON x.dst = y.src AND y.micros >= x.micros WHERE x.src = 1 AND x.src <> x.dst AND y.dst NOT IN (x.src, x.dst)),
+    q AS (SELECT src || '>' || dst AS path, micros AS s, micros AS e FROM calls WHERE src = 1 AND dst <> 1 UNION ALL SELECT a || '>' || b || '>' || c, s, e FROM p)
+    SELECT path, count(*) AS times, min(s) AS first FROM q GROUP BY path""")
+def temporal_paths(spark, d):
+    root = spark.range(1, 2).select(F.col("id").alias("node"))
+    paths = G.temporal_paths(calls(spark, d).withColumn("at", F.col("micros")), root, 2)
+    return paths.groupBy(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path")).agg(F.count(F.lit(1)).alias("times"), F.min("start").alias("first"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT l_partkey AS part, l_suppkey AS supp FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1), e AS (SELECT 'A' || part AS src, 'B' || supp AS dst FROM p), b AS (SELECT src AS n, dst AS t FROM e UNION SELECT dst, src FROM e),
+    r(node, r) AS (SELECT DISTINCT n, n FROM b UNION SELECT b.t, r.r FROM r JOIN b ON b.n = r.node) SELECT node, min(r) AS component FROM r GROUP BY node""")
+def components(spark, d):
+    p = table(spark, d, "lineitem").filter("l_quantity = 50 AND l_discount = 0.1").select(F.concat(F.lit("A"), F.col("l_partkey")).alias("src"), F.concat(F.lit("B"), F.col("l_suppkey")).alias("dst"))
+    return G.components(p)
+
+
+@query()
+def pagerank(spark, d):
+    edges = _bipartite(spark, d).groupBy("src", "dst").agg(F.lit(1.0).alias("weight"))
+    return G.pagerank(edges.union(edges.select("dst", "src", "weight"))).select("node", F.round("rank", 8).alias("rank"))
+
+
+@query("""WITH l AS (SELECT DISTINCT o_custkey AS person, l_partkey AS entity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_discount = 0.1 AND l_quantity >= 40), k AS (SELECT *, count(*) OVER (PARTITION BY entity) AS n FROM l)
+    SELECT a.person AS a, b.person AS b, count(*) AS shared FROM k a JOIN k b ON a.entity = b.entity AND a.person < b.person WHERE a.n BETWEEN 2 AND 12 GROUP BY ALL""")
+def shared_pairs(spark, d):
+    li, o = table(spark, d, "lineitem").filter("l_discount = 0.1 AND l_quantity >= 40"), table(spark, d, "orders")
+    return G.shared_pairs(li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("person"), F.col("l_partkey").alias("entity")))
+
+
+@query(f"""WITH {TX}, p AS (SELECT c_custkey AS person, n_regionkey AS c FROM customer JOIN nation ON c_nationkey = n_nationkey), s AS (SELECT s_suppkey AS org, n_regionkey AS c FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+    SELECT p.c AS case_a, s.c AS case_b, count(*) AS links, count(DISTINCT src) AS people FROM tx JOIN p ON src = person JOIN s ON dst = org WHERE p.c <> s.c GROUP BY ALL""")
+def cross_case_links(spark, d):
+    n = table(spark, d, "nation")
+    orgs = table(spark, d, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("dst"), F.col("n_regionkey").alias("case_b"))
+    rows = transfers(spark, d).join(persons(spark, d).select(F.col("person").alias("src"), F.col("case_id").alias("case_a")), "src").join(orgs, "dst")
+    return rows.filter("case_a <> case_b").groupBy("case_a", "case_b").agg(F.count(F.lit(1)).alias("links"), F.countDistinct("src").alias("people"))
+
+
+@query("""SELECT e.user_id, e.event_id, lag(e.event_id) OVER w AS before_id, round((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1000000.0, 3) AS gap_seconds FROM events e WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts), event_id)""")
+def consecutive_events(spark, d):
+    e = table(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    w = Window.partitionBy("user_id").orderBy("us", "event_id")
+    return e.select("user_id", "event_id", F.lag("event_id").over(w).alias("before_id"), F.round((F.col("us") - F.lag("us").over(w)) / 1e6, 3).alias("gap_seconds"))
+
+
+@query("""WITH t AS (SELECT doc_id, md5(coalesce(text, '')) AS h FROM documents) SELECT h AS content_hash, min(doc_id) AS first_doc, count(*) AS copies FROM t GROUP BY h HAVING count(*) > 1""")
+def content_duplicates(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("content_hash"))
+    return t.groupBy("content_hash").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+
+
+@query("""SELECT doc_id, i AS block, length(b) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS b, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)""")
+def text_blocks(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block", "b"))
+    return t.select("doc_id", F.col("block").cast("long").alias("block"), F.length("b").cast("long").alias("chars"))
+
+
+@query("""SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 4) AS cosine
+    FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) a JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) b ON a.vec_id = 0 AND b.vec_id <> 0""")
+def cosine_of_query(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return e.filter("vec_id <> 0").crossJoin(F.broadcast(q)).select("query_id", "vec_id", F.round(S.cosine(F.col("q"), F.col("embedding")), 4).alias("cosine"))  # one query row
+
+
+@query("""SELECT c_custkey, lower(regexp_replace(c_name, '[^A-Za-z0-9]+', ' ', 'g')) AS norm, 'XXXX' || right(c_name, 4) AS masked, sha256(c_name || '|' || chr(0) || '|') AS digest FROM customer""")
+def scalar_names(spark, d):
+    c = table(spark, d, "customer")
+    return c.select("c_custkey", S.normalize_name(F.col("c_name")).alias("norm"), S.mask_account(F.col("c_name")).alias("masked"), S.sha256_parts(F.col("c_name"), F.lit(None)).alias("digest"))
+
+
+@query("""SELECT label, count(*) AS n FROM (SELECT 'Person' AS label FROM customer UNION ALL SELECT 'Organization' FROM supplier UNION ALL SELECT 'Location' FROM nation UNION ALL SELECT 'Case' FROM region) GROUP BY label""")
+def label_histogram(spark, d):
+    kinds = {"customer": "Person", "supplier": "Organization", "nation": "Location", "region": "Case"}
+    out = None
+    for t, label in kinds.items():
+        rows = table(spark, d, t).select(F.lit(label).alias("label"))
+        out = rows if out is None else out.union(rows)
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT lang, source, count(*) AS docs, sum(length(text)) AS chars FROM documents GROUP BY lang, source""")
+def dataset_stats(spark, d):
+    return table(spark, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("""WITH p AS (SELECT l.doc_id, l.toxic = 1 AS truth, d.n_chars > 2000 AS guess FROM labels l JOIN documents d USING (doc_id)) SELECT round(count(*) FILTER (truth AND guess) / nullif(count(*) FILTER (guess), 0), 4) AS prec, round(count(*) FILTER (truth AND guess) / nullif(count(*) FILTER (truth), 0), 4) AS recall FROM p""")
+def precision_recall(spark, d):
+    p = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    hit, guess, truth = (F.count_if(x).cast("double") for x in ((F.col("toxic") == 1) & (F.col("n_chars") > 2000), F.col("n_chars") > 2000, F.col("toxic") == 1))
+    return p.agg(F.round(F.try_divide(hit, guess), 4).alias("prec"), F.round(F.try_divide(hit, truth), 4).alias("recall"))
+
+
+@query("""SELECT 'PERSON_' || lpad(CAST(row_number() OVER (ORDER BY c_custkey) AS VARCHAR), 6, '0') AS pseudonym, c_custkey FROM customer""")
+def pseudonyms(spark, d):
+    """Bijective pseudonyms: ranks within hash-free range buckets plus the buckets' counts, so no single task numbers all rows."""
+    c = table(spark, d, "customer").select("c_custkey", F.floor(F.col("c_custkey") / 1000).alias("bucket"))
+    sizes = c.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = F.row_number().over(Window.partitionBy("bucket").orderBy("c_custkey"))
+    return c.withColumn("at", at).join(sizes.select("bucket", "before"), "bucket").select(F.concat(F.lit("PERSON_"), F.lpad((F.col("at") + F.col("before")).cast("string"), 6, "0")).alias("pseudonym"), "c_custkey")
+
+
+@query("""WITH r AS (SELECT c_custkey, c_acctbal, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer) SELECT c_nationkey, rank, c_custkey, c_acctbal FROM r WHERE rank <= 3""")
+def top_k_per_group(spark, d):
+    w = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
+    return table(spark, d, "customer").withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 3").select("c_nationkey", "rank", "c_custkey", "c_acctbal")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS s, epoch_us(ts) + 60000000 * (1 + CAST(json_extract_string(props, '$.k') AS BIGINT)) AS t FROM events)
+    SELECT a.event_id AS a, b.event_id AS b FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.s <= b.t AND a.t >= b.s""")
+def overlapping_events(spark, d):
+    c = calls(spark, d).select(F.col("evidence").alias("a"), F.col("src").alias("user"), F.col("micros").alias("s"), (F.col("micros") + 60_000_000 * (1 + F.col("dst"))).alias("t"))
+    other = c.select(F.col("a").alias("b"), "user", F.col("s").alias("s2"), F.col("t").alias("t2"))
+    return c.join(other, "user").filter("a < b AND s <= t2 AND t >= s2").select("a", "b")
