@@ -39,7 +39,8 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFram
         try:
             sep = csv.Sniffer().sniff(head, ",;\t|").delimiter
         except csv.Error:
-            sep = ","
+            line = head.split("\n")[0]
+            sep = max(",;\t|", key=line.count)
     first = next(csv.reader(head.lstrip("﻿").splitlines(), delimiter=sep), [])
     names, seen = [], {}
     for i, x in enumerate(first, 1):
