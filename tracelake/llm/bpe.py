@@ -263,9 +263,8 @@ class Shared:
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds `ids` (array<int>) to all rows. A null text counts as empty and gives no ids."""
-    if ids in docs.columns:
-        raise ValueError(f"the column {ids} exists")
+    """Adds `ids` (array<int>) to all rows. A null text counts as empty and gives no ids. A column of this name is replaced."""
+    docs = docs.drop(ids)
     shared, schema = Shared(docs.sparkSession, tokenizer), schema_with(docs, {ids: "array<int>"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,9 +279,8 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
 
 
 def decode(rows: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Adds the decoded text to rows with ids; null ids give a null text."""
-    if text in rows.columns:
-        raise ValueError(f"the column {text} exists")
+    """Adds the decoded text to rows with ids; null ids give a null text. A column of this name is replaced."""
+    rows = rows.drop(text)
     shared, schema = Shared(rows.sparkSession, tokenizer), schema_with(rows, {text: "string"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -155,9 +155,8 @@ class Scorer:
 
 
 def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Adds the predicted language and its score to all rows."""
-    if clash := {lang, score} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} exist")
+    """Adds the predicted language and its score to all rows; columns of these names are replaced."""
+    docs = docs.drop(lang, score)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,4 +179,4 @@ def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.3, settings: Settings = Settings()) -> DataFrame:
     """The rows whose language is identified: not `und`, and with a share of `least` or more."""
     model = fit(labelled(docs.filter(remainder("doc_id", 3) != 1)), settings)
-    return predict(docs, model, "_lang", "_score").filter((F.col("_lang") != "und") & (F.col("_score") >= least)).drop("_lang", "_score")
+    return predict(docs, model, "__tl_lang", "__tl_score").filter((F.col("__tl_lang") != "und") & (F.col("__tl_score") >= least)).drop("__tl_lang", "__tl_score")

@@ -161,9 +161,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def detect(docs: DataFrame, spans: str = "pii_spans") -> DataFrame:
-    """Adds an array of (kind, start, end, disguised) to all rows."""
-    if spans in docs.columns:
-        raise ValueError(f"the column {spans} exists")
+    """Adds an array of (kind, start, end, disguised) to all rows; a column of this name is replaced."""
+    docs = docs.drop(spans)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("disguised", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -160,12 +160,16 @@ def answer(query: Query, numbers: dict[str, int]) -> Column:
     return out
 
 
+def numbered(keys: Column, rule: int) -> Column:
+    return F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(rule).alias("rule")))
+
+
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Row keys with the numbers of the rules that they are candidates of."""
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None}
     vocabulary = sorted(set().union(*map(trigrams, queries.values()))) if queries else []
     numbers = {t: i for i, t in enumerate(vocabulary)}
-    found = [F.transform(answer(q, numbers), lambda k, i=i: F.struct(k.alias("key"), F.lit(i).alias("rule"))) for i, q in queries.items()]
+    found = [numbered(answer(q, numbers), i) for i, q in queries.items()]
     hits = index(docs, vocabulary).select(F.inline(F.concat(*found) if found else F.array().cast("array<struct<key:bigint,rule:int>>")))
     return hits.groupBy("key").agg(F.collect_set("rule").alias("rules"))
 
@@ -190,18 +194,17 @@ def matches(text: Column, rule: Rule, rank: int) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, spans: str = "secret_spans") -> DataFrame:
-    """All rows with an array of (start, rank of the rule, end), ordered."""
-    if clash := {spans, "_key", "_rules"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} exist")
-    found = candidates(docs, rules).select(F.col("key").alias("_key"), F.col("rules").alias("_rules"))
-    rows = docs.withColumn("_key", row_key()).join(found, "_key", "left")
+    """All rows with an array of (start, rank of the rule, end), ordered; a column of this name is replaced."""
+    docs = docs.drop(spans)
+    found = candidates(docs, rules).select(F.col("key").alias("__tl_key"), F.col("rules").alias("__tl_rules"))
+    rows = docs.withColumn("__tl_key", row_key()).join(found, "__tl_key", "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast(SPAN)
     each = []
     for i, rule in enumerate(rules):
-        is_candidate = F.array_contains("_rules", i) if trigram_query(rule.pattern) is not None else F.lit(True)
+        is_candidate = F.array_contains("__tl_rules", i) if trigram_query(rule.pattern) is not None else F.lit(True)
         each.append(F.when(is_candidate & text.rlike(rule.pattern), matches(text, rule, i)).otherwise(none))
-    return rows.withColumn(spans, F.array_sort(F.concat(*each))).drop("_key", "_rules")
+    return rows.withColumn(spans, F.array_sort(F.concat(*each))).drop("__tl_key", "__tl_rules")
 
 
 def joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -214,20 +217,24 @@ def digests(docs: DataFrame) -> DataFrame:
     """Per document: counts of the base kinds, the digest of their spans, and all spans."""
     found = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "secret_spans")
     base = F.filter("secret_spans", lambda s: s["rank"] < len(BASE))
-    n = [F.size(F.filter("secret_spans", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
+
+    def of_rule(i: int) -> Column:
+        return F.size(F.filter("secret_spans", lambda s: s["rank"] == i)).cast("long")
+
+    n = [of_rule(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
     return found.select("doc_id", *n, F.sha2(joined(base, RULES), 256).alias("base_sha256"), joined(F.col("secret_spans"), RULES).alias("spans"))
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """All rows, secrets replaced by `mask` (overlapping spans by one); n_chars follows the text where that column exists."""
-    found = scan(docs)
+    found = scan(docs, spans="__tl_spans")
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
         kept = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, kept).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    out = found.withColumn("_clean", F.when(F.size("secret_spans") > 0, clean).otherwise(F.col("text")))
-    cols = [F.col("_clean").alias(c) if c == "text" else F.when(F.size("secret_spans") > 0, F.length("_clean")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    clean = F.aggregate("__tl_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    out = found.withColumn("__tl_clean", F.when(F.size("__tl_spans") > 0, clean).otherwise(F.col("text")))
+    cols = [F.col("__tl_clean").alias(c) if c == "text" else F.when(F.size("__tl_spans") > 0, F.length("__tl_clean")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*cols)
