@@ -219,3 +219,31 @@ def test_prob_minhash_estimates():
     owner = np.repeat([0, 1], 300)
     sig = prob_minhash.signatures(owner, np.concatenate([h[:300], h[100:]]), np.ones(600), 2, 2000)
     assert abs((sig[0] == sig[1]).mean() - 0.5) < 0.05
+
+
+def test_prob_minhash_blocks_join_what_brute_force_joins():
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 2**60, 120).astype("u8") for _ in range(3)]
+    sets = []
+    for i in range(90):  # three families, in which a varying part of the shingles is replaced
+        s = base[i % 3].copy()
+        k = int(rng.integers(0, 30))
+        s[rng.choice(120, k, replace=False)] = rng.integers(0, 2**60, k).astype("u8")
+        sets.append(np.unique(s))
+    size, rep = np.array([len(s) for s in sets]), np.arange(90)
+    sig = (prob_minhash.signatures(np.repeat(rep, size), np.concatenate(sets), np.ones(size.sum()), 90) & np.uint64(0xFF)).astype("u1")
+
+    def joined(links):
+        label = list(range(90))
+        for a, b in links:
+            label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+        return label
+
+    exact = [(i, j) for i in range(90) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    block, links = rep % 4, []
+    for i in range(4):
+        for j in range(i, 4):
+            rows = np.flatnonzero((block == i) | (block == j))
+            links += zip(*prob_minhash.spanning_links(block[rows] == i, rep[rows], size[rows], sig[rows], [sets[k] for k in rows], i == j, 0.8), strict=True)
+    assert set(links) <= {(min(p), max(p)) for p in exact} and joined(links) == joined(exact)
+    assert len(set(joined(links))) > 3

@@ -9,11 +9,13 @@ arrivals are later than what all places hold.
 
 1. Documents with the same shingles collapse to one representative; only representatives go on.
 2. Signatures are cut into bands; representatives that share a band meet in a bucket.
-3. Buckets are compared with hubs, not in pairs: every member is verified against the bucket's hub,
-   and links join components. Members of different components are verified against new hubs as long
-   as they form many pairs and hubs lessen them; then all pairs left are verified. Pairs inside a component need no
-   verification, as they can't change the classes.
-4. Verification computes the exact similarity (Jaccard of the sets of shingles) from the texts.
+3. Buckets are compared by signature, block against block of bounded size, so their pairs are never
+   rows: every family (at first, every representative) gives the pair with the best agreement that
+   leads out of it, and such pairs join families, until none is left. So whatever agreement doesn't
+   rule out lies within a family.
+4. Families are compared with their texts, again block against block: pairs whose sizes and signatures
+   allow it and which aren't linked yet in that block get their exact similarity (Jaccard of the sets
+   of shingles). Only links leave, fewer than a block pair has members.
 
 Classes are the components of all links. Texts shorter than a shingle are one shingle; texts without a
 word stand alone. Null text counts as empty. Repeated rows and ties fall into one class.
@@ -106,14 +108,8 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard of two arrays of distinct shingles."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(len(a) + len(b) - both, 1)
-
-
 def sketch(docs: DataFrame, words: int, places: int, rows: int) -> DataFrame:
-    """doc_id, the digest of its set of shingles (null: no word), band keys, signature and the packed text; `number` too, if docs has it."""
+    """doc_id, the digest of its set of shingles (null: no word), its size, band keys, signature (a byte a place) and the packed text; `number` too, if docs has it."""
     numbered = "number" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,52 +124,152 @@ def sketch(docs: DataFrame, words: int, places: int, rows: int) -> DataFrame:
                 bands = band_keys(sig, rows).view("i8")
                 digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x, _ in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), *([b.column("number")] if numbered else []), pa.array(digests, pa.binary()), pa.array(list(bands), pa.list_(pa.int64())), pa.array([(x & np.uint64(0xFFFF)).astype("u2").tobytes() for x in sig], pa.binary()), pa.array([pack(" ".join(t.split()).encode()) for t in texts], pa.binary())],
-                    ["doc_id", *(["number"] if numbered else []), "digest", "bands", "sig", "packed"],
+                    [b.column("doc_id"), *([b.column("number")] if numbered else []), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(list(bands), pa.list_(pa.int64())), pa.array([(x & np.uint64(0xFF)).astype("u1").tobytes() for x in sig], pa.binary()), pa.array([pack(" ".join(t.split()).encode()) for t in texts], pa.binary())],
+                    ["doc_id", *(["number"] if numbered else []), "digest", "size", "bands", "sig", "packed"],
                 )
 
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(["number"] if numbered else []))
-    return rows_.mapInArrow(run, f"doc_id long, {'number long, ' * numbered}digest binary, bands array<long>, sig binary, packed binary")
-
+    return rows_.mapInArrow(run, f"doc_id long, {'number long, ' * numbered}digest binary, size long, bands array<long>, sig binary, packed binary")
 
-def likely(pairs: DataFrame, reps: DataFrame, least: float, places: int) -> DataFrame:
-    """The pairs whose signatures don't rule them out: agreement over five standard deviations under the least similarity does."""
-    bound = least - 5.5 * (least * (1 - least) / places) ** 0.5
-    signed = reps.select("rep", "sig")
-    both = pairs.join(signed.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(signed.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u2").reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array((x == y).mean(1) >= bound))
+def agreements(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many places each signature of x agrees with each of y."""
+    if len(x) * len(y) < 4096:
+        return (x[:, None] == y[None, :]).sum(2)
+    out = np.zeros((len(x), len(y)), "u1" if x.shape[1] < 256 else "u4")
+    for p, q in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), strict=True):
+        out += p[:, None] == q[None, :]
+    return out
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
+def allowed(size: np.ndarray, sig: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Agreements of rows x with rows y, and whether sizes and agreement allow the least similarity. Agreement over five standard deviations under it rules a pair out."""
+    places = sig.shape[1]
+    bound = (least - 5.5 * (least * (1 - least) / places) ** 0.5) * places
+    agree = agreements(sig[x], sig[y])
+    one, other = size[x].astype("f8")[:, None], size[y].astype("f8")[None, :]
+    return agree, (agree >= bound) & (least * one <= other + 1e-6) & (least * other <= one + 1e-6)
+
+
+def sides(own: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the two blocks of a block pair; of one block, twice, if `same`."""
+    x = np.arange(len(own)) if same else np.flatnonzero(own)
+    return x, x if same else np.flatnonzero(~own)
+
+
+def best_out(own: np.ndarray, rep: np.ndarray, family: np.ndarray, size: np.ndarray, sig: np.ndarray, same: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each family of a block pair, the allowed pair (a, b) with the best agreement that leads out of it; ties go to the lesser row."""
+    x, y = sides(own, same)
+    agree, open_ = allowed(size, sig, x, y, least)
+    score = np.where(open_ & (family[x][:, None] != family[y][None, :]), agree, 0).astype("i8")
+    if not score.any():
+        return rep[:0], rep[:0]
+    i, j, of = np.arange(len(x)), score.argmax(1), family[x]
+    if not same:
+        i, j, of = np.r_[i, score.argmax(0)], np.r_[j, np.arange(len(y))], np.r_[of, family[y]]
+    best = score[i, j]
+    order = np.lexsort((np.arange(len(of)), -best, of))
+    first = order[np.r_[True, of[order][1:] != of[order][:-1]]]
+    first = first[best[first] > 0]
+    a, b = rep[x[i[first]]], rep[y[j[first]]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def spanning_links(own: np.ndarray, rep: np.ndarray, size: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], same: bool, least: float) -> tuple[list[int], list[int]]:
+    """Links (pairs of exact similarity `least` or more) that join whatever links of a block pair join; rows that links already join aren't compared again."""
+    x, y = sides(own, same)
+    _, open_ = allowed(size, sig, x, y, least)
+    vocabulary, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum([len(z) for z in sets])
+    ids = np.split(inverse, ends[:-1])
+    group, marked = np.arange(len(rep)), np.zeros(len(vocabulary), bool)
+    a, b = [], []
+    for k, i in enumerate(x):
+        js = y[open_[k]]
+        js = js[(group[js] != group[i]) & ((js > i) | (not same))]
+        if not len(js):
+            continue
+        marked[ids[i]] = True
+        both = np.add.reduceat(marked[np.concatenate([ids[j] for j in js])], np.r_[0, np.cumsum(size[js])[:-1]], dtype="i8")
+        marked[ids[i]] = False
+        for j in js[both >= least * (size[i] + size[js] - both) - 1e-9]:
+            if group[i] != group[j]:
+                group[group == group[j]] = group[i]
+                a.append(min(rep[i], rep[j]))
+                b.append(max(rep[i], rep[j]))
+    return a, b
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], numbers: tuple[str, ...], binaries: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of each key, from sorted batches; holds one key's rows and a batch."""
+    carry: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = {c: batch.column(c).to_numpy() for c in (*keys, *numbers)}
+        for c in binaries:
+            now[c] = np.empty(batch.num_rows, object)
+            now[c][:] = batch.column(c).to_pylist()
+        carry = now if carry is None else {c: np.concatenate([carry[c], now[c]]) for c in now}
+        ends = 1 + np.flatnonzero(np.logical_or.reduce([carry[c][1:] != carry[c][:-1] for c in keys]))
+        for start, end in zip(np.r_[0, ends[:-1]], ends, strict=False):
+            yield {c: v[start:end] for c, v in carry.items()}
+        if len(ends):
+            carry = {c: v[ends[-1] :] for c, v in carry.items()}
+    if carry is not None:
+        yield carry
+
+
+def signed(run: dict[str, np.ndarray]) -> np.ndarray:
+    return np.frombuffer(b"".join(run["sig"]), "u1").reshape(len(run["sig"]), -1)
+
+
+def links_frame(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def paired_blocks(members: DataFrame) -> DataFrame:
+    """Members (with their key's number of blocks) once per pair of blocks (i, j) of their key that holds their own."""
+    placed = members.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+
+
+def outward_pairs(labelled: DataFrame, reps: DataFrame, least: float, block: int = 512) -> DataFrame:
+    """Pairs (a, b) that lead out of families, from buckets (band, rep, family). A bucket of n is n/block blocks; a row travels once for each of them, and a task holds two blocks at a time."""
+    counts = labelled.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("c"), F.max("family").alias("d")).filter("c < d")
+    spread = paired_blocks(labelled.join(counts.select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "band"))
+    keys, numbers = ("band", "i", "j"), ("own", "rep", "family", "size")
 
-def verified(pairs: DataFrame, reps: DataFrame, words: int, least: float, places: int) -> DataFrame:
-    """The pairs (a, b) whose exact similarity is `least` or more."""
-    texts = reps.select("rep", "packed")
-    both = likely(pairs, reps, least, places).join(texts.select(F.col("rep").alias("a"), F.col("packed").alias("packed_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("packed").alias("packed_b")), "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for r in runs(batches, keys, numbers, ("sig",)):
+            found.append(best_out(r["own"] == r["i"][0], r["rep"], r["family"], r["size"], signed(r), r["i"][0] == r["j"][0], least))
+            if len(found) >= 1000:
+                yield links_frame(*(np.concatenate(z) for z in zip(*found, strict=True)))
+                found = []
+        if found:
+            yield links_frame(*(np.concatenate(z) for z in zip(*found, strict=True)))
+
+    rows = spread.join(reps.select("rep", "size", "sig"), "rep").select(*keys, *numbers, "sig")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, "a long, b long").distinct()
+
+
+def family_links(family: DataFrame, reps: DataFrame, words: int, least: float, block: int = 512, shingles: int = 500_000) -> DataFrame:
+    """The links (a, b) within families (rep, family), enough to join what all of them join. A block has about `block` members or `shingles` shingles at most."""
+    sized = family.join(reps, "rep")
+    counts = sized.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all")).filter("n > 1")
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("all") / shingles)).cast("int").alias("blocks")
+    spread = paired_blocks(sized.join(counts.select("family", blocks), "family"))
+    keys, numbers = ("family", "i", "j"), ("own", "rep", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, unpack = Hasher(), zstandard.ZstdDecompressor().decompress
-        recent: dict[int, np.ndarray] = {}
-
-        def shingles(rep: int, packed: bytes) -> np.ndarray:
-            if rep not in recent:
-                if len(recent) >= 256:
-                    recent.clear()
-                recent[rep] = np.unique(hasher.shingles(unpack(packed).decode(), words))
-            return recent[rep]
-
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                d = batch.slice(start, 1000).to_pydict()
-                keep = [similarity(shingles(a, p), shingles(b, q)) >= least for a, b, p, q in zip(d["a"], d["b"], d["packed_a"], d["packed_b"], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([z for z, k in zip(d[c], keep, strict=True) if k], pa.int64()) for c in ("a", "b")], ["a", "b"])
+        for r in runs(batches, keys, numbers, ("sig", "packed")):
+            sets = [np.unique(hasher.shingles(unpack(p).decode(), words)) for p in r["packed"]]
+            yield links_frame(*spanning_links(r["own"] == r["i"][0], r["rep"], r["size"], signed(r), sets, r["i"][0] == r["j"][0], least))
 
-    return both.select("a", "b", "packed_a", "packed_b").mapInArrow(run, "a long, b long")
+    rows = spread.select(*keys, *numbers, "sig", "packed")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, "a long, b long")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -192,73 +288,44 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(touched.join(labels, "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
 
 
-def classes(docs: DataFrame, words: int = WORDS, least: float = LEAST, places: int = PLACES, rows: int = ROWS, many: float = 8.0, shrink: float = 0.7) -> DataFrame:
+def classes(docs: DataFrame, words: int = WORDS, least: float = LEAST, places: int = PLACES, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class), class_size, kept (whether it is the row of its class
-    that stays). `many`: pairs per representative up to which buckets' open pairs are all verified
-    at once; they are, too, as soon as a round of hubs leaves over the share `shrink` of them."""
+    that stays)."""
     sketched = cut(sketch(docs.select("doc_id", "text"), words, places, rows).withColumn("number", F.monotonically_increasing_id()))
-    return of_sketches(sketched, words, least, places, many, shrink).drop("number")
+    return of_sketches(sketched, words, least).drop("number")
 
 
-def survivors(docs: DataFrame, words: int = WORDS, least: float = LEAST, places: int = PLACES, rows: int = ROWS, many: float = 8.0, shrink: float = 0.7) -> DataFrame:
+def survivors(docs: DataFrame, words: int = WORDS, least: float = LEAST, places: int = PLACES, rows: int = ROWS) -> DataFrame:
     """The rows that stay, with their columns."""
     numbered = cut(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*docs.columns).alias("row")))
     texts = numbered.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "number")
     sketched = cut(sketch(texts, words, places, rows))
-    kept = of_sketches(sketched, words, least, places, many, shrink).filter("kept").select("number")
+    kept = of_sketches(sketched, words, least).filter("kept").select("number")
     return numbered.join(kept, "number", "left_semi").select("row.*")
 
 
-def of_sketches(sketched: DataFrame, words: int, least: float, places: int, many: float, shrink: float) -> DataFrame:
+def of_sketches(sketched: DataFrame, words: int, least: float) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "number")
     named = sketched.filter("digest is not null")
     firsts = named.groupBy("digest").agg(F.min(order).alias("first")).select("digest", F.col("first.number").alias("rep"))
     heads = firsts.select(F.col("rep").alias("number"))
-    reps = named.join(heads, "number", "left_semi").select(F.col("number").alias("rep"), "bands", "sig", "packed")
+    reps = named.join(heads, "number", "left_semi").select(F.col("number").alias("rep"), "bands", "size", "sig", "packed")
     banded = reps.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").count().filter("count > 1").select("band")
     members = cut(banded.join(shared, "band"))  # buckets of two or more
     met = members.select("rep").distinct()
-    reps = cut(reps.select("rep", "sig", "packed").join(met, "rep", "left_semi"))
-    total = reps.count()
-    labelled, links, turn = members.withColumn("component", F.col("rep")), None, 0
-    done, before = False, None
-    while not done:
-        if turn:
-            left = pairs_left(labelled)
-            done = left <= many * (total + 25_000) or before is not None and left > shrink * before
-            before = left
-        pairs = exhaustive(labelled) if done else hub_pairs(labelled, turn)
-        new = cut(verified(pairs, reps, words, least, places))
-        links = new if links is None else links.union(new)
-        component = cut(components(met, links))
-        labelled = members.join(component, "rep") if done else cut(members.join(component, "rep"))
-        turn += 1
+    reps = cut(reps.select("rep", "size", "sig", "packed").join(met, "rep", "left_semi"))
+    family, edges = met.select("rep", F.col("rep").alias("family")), None
+    while True:
+        new = cut(outward_pairs(members.join(family, "rep"), reps, least))
+        if new.isEmpty():
+            break
+        edges = new if edges is None else edges.union(new)
+        family = cut(components(met, edges).withColumnRenamed("component", "family"))
+    component = cut(components(met, cut(family_links(family, reps, words, least))))
     return finished(sketched, firsts, component)
 
 
-def pairs_left(labelled: DataFrame) -> int:
-    """How many pairs of different components buckets hold."""
-    parts = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    squares = parts.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
-    return int(squares.agg(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2)).first()[0] or 0)
-
-
-def hub_pairs(labelled: DataFrame, turn: int) -> DataFrame:
-    """Members with the hub of their bucket, where that is of another component; the hub is another member each time."""
-    hubs = labelled.groupBy("band").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(turn))).alias("hub"))
-    pairs = labelled.join(hubs, "band").filter("hub.component <> component")
-    return pairs.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
-
-
-def exhaustive(labelled: DataFrame) -> DataFrame:
-    """All pairs of different components that share a bucket: where they aren't many."""
-    mixed_ = labelled.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("band")
-    open_ = labelled.join(mixed_, "band")
-    other = open_.select("band", F.col("rep").alias("b"), F.col("component").alias("d"))
-    return open_.join(other, "band").filter("component < d").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-
-
 def finished(sketched: DataFrame, firsts: DataFrame, component: DataFrame) -> DataFrame:
     of_rep = firsts.join(component, "rep", "left").select("digest", "rep", F.coalesce("component", "rep").alias("component"))
     rows = sketched.select("doc_id", "digest", "number").join(of_rep, "digest", "left").withColumn("component", F.coalesce("component", "number")).withColumn("rep", F.coalesce("rep", "number"))
