@@ -161,7 +161,7 @@ def best_out(own: np.ndarray, rep: np.ndarray, family: np.ndarray, size: np.ndar
     """For each family of a block pair, the allowed pair (a, b) with the best agreement that leads out of it; ties go to the lesser row."""
     x, y = sides(own, same)
     agree, open_ = allowed(size, sig, x, y, least)
-    score = np.where(open_ & (family[x][:, None] != family[y][None, :]), agree, 0).astype("i8")
+    score = np.where(open_ & (family[x][:, None] != family[y][None, :]), agree, 0).astype("i4")
     if not score.any():
         return rep[:0], rep[:0]
     i, j, of = np.arange(len(x)), score.argmax(1), family[x]
@@ -234,7 +234,7 @@ def paired_blocks(members: DataFrame) -> DataFrame:
     return placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
 
 
-def outward_pairs(labelled: DataFrame, reps: DataFrame, least: float, block: int = 512) -> DataFrame:
+def outward_pairs(labelled: DataFrame, reps: DataFrame, least: float, block: int = 4096) -> DataFrame:
     """Pairs (a, b) that lead out of families, from buckets (band, rep, family). A bucket of n is n/block blocks; a row travels once for each of them, and a task holds two blocks at a time."""
     counts = labelled.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("c"), F.max("family").alias("d")).filter("c < d")
     spread = paired_blocks(labelled.join(counts.select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "band"))
@@ -254,7 +254,7 @@ def outward_pairs(labelled: DataFrame, reps: DataFrame, least: float, block: int
     return rows.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, "a long, b long").distinct()
 
 
-def family_links(family: DataFrame, reps: DataFrame, words: int, least: float, block: int = 512, shingles: int = 500_000) -> DataFrame:
+def family_links(family: DataFrame, reps: DataFrame, words: int, least: float, block: int = 4096, shingles: int = 500_000) -> DataFrame:
     """The links (a, b) within families (rep, family), enough to join what all of them join. A block has about `block` members or `shingles` shingles at most."""
     sized = family.join(reps, "rep")
     counts = sized.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all")).filter("n > 1")
