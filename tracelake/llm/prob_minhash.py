@@ -10,9 +10,8 @@ arrivals are later than what all places hold.
 1. Documents with the same shingles collapse to one representative; only representatives go on.
 2. Signatures are cut into bands; representatives that share a band meet in a bucket.
 3. Buckets are compared by signature, block against block of bounded size, so their pairs are never
-   rows: every family (at first, every representative) gives the pair with the best agreement that
-   leads out of it, and such pairs join families, until none is left. So whatever agreement doesn't
-   rule out lies within a family.
+   rows: rows that allowed pairs of a block pair join, directly or over others, are linked to the least
+   of them. The components of these links are families; whatever agreement doesn't rule out lies within one.
 4. Families are compared with their texts, again block against block: pairs whose sizes and signatures
    allow it and which aren't linked yet in that block get their exact similarity (Jaccard of the sets
    of shingles). Only links leave, fewer than a block pair has members.
@@ -157,22 +156,37 @@ def sides(own: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     return x, x if same else np.flatnonzero(~own)
 
 
-def best_out(own: np.ndarray, rep: np.ndarray, family: np.ndarray, size: np.ndarray, sig: np.ndarray, same: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each family of a block pair, the allowed pair (a, b) with the best agreement that leads out of it; ties go to the lesser row."""
+def stars(rep: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row with the least row of its label, (a, b) with a < b; rows come by rep."""
+    _, first, of = np.unique(label, return_index=True, return_inverse=True)
+    leaf = np.flatnonzero(first[of] != np.arange(len(rep)))
+    return rep[first[of[leaf]]], rep[leaf]
+
+
+def joined(open_: np.ndarray, x: np.ndarray, y: np.ndarray, n: int, same: bool) -> np.ndarray:
+    """A label for each of n rows, equal for those that allowed pairs of rows x and y join."""
+    label, seen_x, seen_y = np.arange(n), np.zeros(len(x), bool), np.zeros(len(y), bool)
+    across = np.ascontiguousarray(open_.T)
+    for start in np.flatnonzero(open_.sum(1) > same):  # with itself a row is always allowed
+        if seen_x[start]:
+            continue
+        seen_x[start], front = True, np.array([start])
+        while len(front):
+            label[x[front]] = x[start]
+            heard = open_[front].any(0) & ~seen_y
+            seen_y |= heard
+            label[y[heard]] = x[start]
+            heard = across[heard].any(0) & ~seen_x
+            seen_x |= heard
+            front = np.flatnonzero(heard)
+    return label
+
+
+def alike(own: np.ndarray, rep: np.ndarray, size: np.ndarray, sig: np.ndarray, same: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what the allowed pairs of a block pair join."""
     x, y = sides(own, same)
-    agree, open_ = allowed(size, sig, x, y, least)
-    score = np.where(open_ & (family[x][:, None] != family[y][None, :]), agree, 0).astype("i4")
-    if not score.any():
-        return rep[:0], rep[:0]
-    i, j, of = np.arange(len(x)), score.argmax(1), family[x]
-    if not same:
-        i, j, of = np.r_[i, score.argmax(0)], np.r_[j, np.arange(len(y))], np.r_[of, family[y]]
-    best = score[i, j]
-    order = np.lexsort((np.arange(len(of)), -best, of))
-    first = order[np.r_[True, of[order][1:] != of[order][:-1]]]
-    first = first[best[first] > 0]
-    a, b = rep[x[i[first]]], rep[y[j[first]]]
-    return np.minimum(a, b), np.maximum(a, b)
+    _, open_ = allowed(size, sig, x, y, least)
+    return stars(rep, joined(open_, x, y, len(rep), same))
 
 
 def spanning_links(own: np.ndarray, rep: np.ndarray, size: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], same: bool, least: float) -> tuple[list[int], list[int]]:
@@ -234,23 +248,22 @@ def paired_blocks(members: DataFrame) -> DataFrame:
     return placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
 
 
-def outward_pairs(labelled: DataFrame, reps: DataFrame, least: float, block: int = 4096) -> DataFrame:
-    """Pairs (a, b) that lead out of families, from buckets (band, rep, family). A bucket of n is n/block blocks; a row travels once for each of them, and a task holds two blocks at a time."""
-    counts = labelled.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("c"), F.max("family").alias("d")).filter("c < d")
-    spread = paired_blocks(labelled.join(counts.select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "band"))
-    keys, numbers = ("band", "i", "j"), ("own", "rep", "family", "size")
+def bucket_links(members: DataFrame, reps: DataFrame, least: float, block: int = 4096) -> DataFrame:
+    """Links (a, b) that join what allowed pairs within buckets (band, rep) join. A bucket of n is n/block blocks; a row travels once for each of them, and a task holds two blocks at a time."""
+    counts = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    keys, numbers = ("band", "i", "j"), ("own", "rep", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for r in runs(batches, keys, numbers, ("sig",)):
-            found.append(best_out(r["own"] == r["i"][0], r["rep"], r["family"], r["size"], signed(r), r["i"][0] == r["j"][0], least))
+            found.append(alike(r["own"] == r["i"][0], r["rep"], r["size"], signed(r), r["i"][0] == r["j"][0], least))
             if len(found) >= 1000:
                 yield links_frame(*(np.concatenate(z) for z in zip(*found, strict=True)))
                 found = []
         if found:
             yield links_frame(*(np.concatenate(z) for z in zip(*found, strict=True)))
 
-    rows = spread.join(reps.select("rep", "size", "sig"), "rep").select(*keys, *numbers, "sig")
+    rows = paired_blocks(members.join(counts, "band")).join(reps.select("rep", "size", "sig"), "rep").select(*keys, *numbers, "sig")
     return rows.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -273,19 +286,19 @@ def family_links(family: DataFrame, reps: DataFrame, words: int, least: float, b
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(rep, component) for all nodes: the least rep that links lead to. Labels go along links and jump to their label's label."""
-    both = cut(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
-    touched = both.select(F.col("a").alias("rep")).distinct()
-    labels = cut(both.groupBy(F.col("a").alias("rep")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    while True:
-        heard = both.join(labels.select(F.col("rep").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("rep")).agg(F.min("c").alias("heard"))
-        nearer = labels.join(heard, "rep").select("rep", F.col("component").alias("old"), F.least("component", "heard").alias("component"))
-        jump = labels.select(F.col("rep").alias("component"), F.col("component").alias("further"))
-        moved = cut(nearer.join(jump, "component", "left").select("rep", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
-        labels = moved.select("rep", "component")
-        if moved.filter("old <> component").isEmpty():
-            break
-    return nodes.join(touched.join(labels, "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    """(rep, component) for all nodes: the least rep that links lead to. In each round a node takes the name of the least lesser
+    neighbour, or that one's; links then go between names, and those within a name go."""
+    edges = cut(links.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).filter("a <> b").distinct())
+    labels = nodes.select("rep", F.col("rep").alias("component"))
+    while not edges.isEmpty():
+        up = cut(edges.groupBy("b").agg(F.min("a").alias("a")))
+        named = up.select(F.col("b").alias("a"), F.col("a").alias("further"))
+        names = cut(up.join(named, "a", "left").select(F.col("b").alias("node"), F.coalesce("further", "a").alias("name")))
+        labels = cut(labels.join(names, F.col("component") == F.col("node"), "left").select("rep", F.coalesce("name", "component").alias("component")))
+        upper = edges.join(names.select(F.col("node").alias("b"), F.col("name").alias("p")), "b")
+        both = upper.join(names.select(F.col("node").alias("a"), F.col("name").alias("q")), "a", "left").withColumn("q", F.coalesce("q", "a"))
+        edges = cut(both.select(F.greatest("p", "q").alias("b"), F.least("p", "q").alias("a")).filter("a <> b").distinct())
+    return labels
 
 
 def classes(docs: DataFrame, words: int = WORDS, least: float = LEAST, places: int = PLACES, rows: int = ROWS) -> DataFrame:
@@ -313,16 +326,10 @@ def of_sketches(sketched: DataFrame, words: int, least: float) -> DataFrame:
     banded = reps.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").count().filter("count > 1").select("band")
     members = cut(banded.join(shared, "band"))  # buckets of two or more
-    met = members.select("rep").distinct()
+    met = cut(members.select("rep").distinct())
     reps = cut(reps.select("rep", "size", "sig", "packed").join(met, "rep", "left_semi"))
-    family, edges = met.select("rep", F.col("rep").alias("family")), None
-    while True:
-        new = cut(outward_pairs(members.join(family, "rep"), reps, least))
-        if new.isEmpty():
-            break
-        edges = new if edges is None else edges.union(new)
-        family = cut(components(met, edges).withColumnRenamed("component", "family"))
-    component = cut(components(met, cut(family_links(family, reps, words, least))))
+    family = components(met, bucket_links(members, reps, least)).withColumnRenamed("component", "family")
+    component = components(met, family_links(family, reps, words, least))
     return finished(sketched, firsts, component)
 
 
