@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import scalar as S
+from tracelake.operators import evidence as E
 from tracelake.operators import graph as G
 from tracelake.operators import patterns as P
 from tracelake.sources import calls, persons, table, transfers
@@ -228,3 +229,92 @@ def overlapping_events(spark, d):
     c = calls(spark, d).select(F.col("evidence").alias("a"), F.col("src").alias("user"), F.col("micros").alias("s"), (F.col("micros") + 60_000_000 * (1 + F.col("dst"))).alias("t"))
     other = c.select(F.col("a").alias("b"), "user", F.col("s").alias("s2"), F.col("t").alias("t2"))
     return c.join(other, "user").filter("a < b AND s <= t2 AND t >= s2").select("a", "b")
+
+
+@query(f"""WITH {TX} SELECT src, dst, count(*) AS n, CASE WHEN count(*) >= 3 THEN 'high' WHEN count(*) >= 2 THEN 'medium' ELSE 'low' END AS band FROM tx GROUP BY src, dst""")
+def financial_link(spark, d):
+    return transfers(spark, d).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).withColumn("band", E.band(F.col("n"), 3, 2))
+
+
+@query(f"""WITH {CALLS} SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n, CASE WHEN count(*) >= 8 THEN 'high' WHEN count(*) >= 4 THEN 'medium' ELSE 'low' END AS band
+    FROM calls WHERE src <> dst GROUP BY ALL""")
+def frequent_contact(spark, d):
+    pairs = calls(spark, d).filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    return pairs.agg(F.count(F.lit(1)).alias("n")).withColumn("band", E.band(F.col("n"), 8, 4))
+
+
+@query(f"""WITH {TX} SELECT src, dst, count(DISTINCT evidence) AS docs FROM tx GROUP BY src, dst HAVING count(DISTINCT evidence) >= 3""")
+def repeated_combination(spark, d):
+    return transfers(spark, d).groupBy("src", "dst").agg(F.countDistinct("evidence").alias("docs")).filter("docs >= 3")
+
+
+@query("""SELECT c_nationkey AS holder, s_nationkey AS used_by, count(*) AS uses, count(DISTINCT o_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL""")
+def use_vs_ownership(spark, d):
+    owner = table(spark, d, "customer").select(F.col("c_custkey").alias("src"), F.col("c_nationkey").alias("holder"))
+    user = table(spark, d, "supplier").select(F.col("s_suppkey").alias("dst"), F.col("s_nationkey").alias("used_by"))
+    t = transfers(spark, d).select("src", "dst", "evidence").join(owner, "src").join(user, "dst").filter("holder <> used_by")
+    return t.groupBy("holder", "used_by").agg(F.count(F.lit(1)).alias("uses"), F.countDistinct("evidence").alias("orders"))
+
+
+def _case_links(spark, d):
+    return transfers(spark, d).join(persons(spark, d).select(F.col("person").alias("src"), "case_id"), "src").select("case_id", F.col("dst").alias("entity"), F.col("src").alias("member"))
+
+
+@query(f"""WITH {TX}, l AS (SELECT dst AS entity, n_regionkey AS case_id, count(*) AS evidence FROM tx JOIN customer ON src = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+    p AS (SELECT x.case_id AS a, y.case_id AS b, count(*) AS shared, CAST(sum(x.evidence + y.evidence) AS BIGINT) AS evidence FROM l x JOIN l y ON x.entity = y.entity AND x.case_id < y.case_id GROUP BY ALL)
+    SELECT *, CASE WHEN shared >= 3 OR evidence >= 5 THEN 'STRONG' WHEN shared >= 2 OR evidence >= 2 THEN 'MODERATE' ELSE 'WEAK' END AS strength FROM p""")
+def case_network(spark, d):
+    return E.case_network(_case_links(spark, d))
+
+
+@query(f"""WITH {TX} SELECT dst AS entity, count(DISTINCT src) AS members FROM tx GROUP BY dst HAVING count(DISTINCT src) > 100""")
+def suppressed_hubs(spark, d):
+    return E.suppressed_hubs(_case_links(spark, d), 100)
+
+
+@query(f"""WITH {CALLS}, p AS (SELECT src, dst, count(DISTINCT evidence) AS docs, 1 + (src + dst) % 5 AS hops, 40 + 10 * count(*) AS c, count(DISTINCT event_type) > 3 AS con FROM calls GROUP BY src, dst)
+    SELECT src, dst, CASE WHEN docs >= 2 AND hops = 1 AND c >= 85 AND NOT con THEN 'FACT' WHEN docs >= 2 AND hops = 1 AND c >= 85 OR hops <= 2 AND c >= 65 OR hops <= 3 AND c >= 50 THEN 'INFERENCE'
+    WHEN hops <= 4 THEN 'HYPOTHESIS' ELSE 'UNKNOWN' END AS status FROM p""")
+def evidence_sufficiency(spark, d):
+    pairs = calls(spark, d).groupBy("src", "dst").agg(F.countDistinct("evidence").alias("docs"), F.count(F.lit(1)).alias("n"), (F.countDistinct("event_type") > 3).alias("con"))
+    confidence = (40 + 10 * F.col("n")) / 100
+    return pairs.select("src", "dst", E.sufficiency(F.col("docs"), 1 + (F.col("src") + F.col("dst")) % 5, confidence, F.col("con")).alias("status"))
+
+
+@query(f"""WITH {CALLS}, e AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM calls UNION ALL SELECT dst, src FROM calls) WHERE src <> dst),
+    n AS (SELECT dst AS p FROM e WHERE src = 1 AND dst <> 2), f AS (SELECT dst AS q FROM e WHERE src = 2 AND dst <> 1),
+    a AS (SELECT '1>2' AS path, 1 AS hops FROM e WHERE src = 1 AND dst = 2 UNION ALL SELECT '1>' || p || '>2', 2 FROM n JOIN f ON p = q
+    UNION ALL SELECT '1>' || p || '>' || q || '>2', 3 FROM e JOIN n ON src = p JOIN f ON dst = q) SELECT path, hops FROM a ORDER BY hops, path LIMIT 2""")
+def shortest_paths(spark, d):
+    return E.shortest_paths(calls(spark, d), 1, 2)
+
+
+@query("""SELECT CASE WHEN CAST(ts AS DATE) < DATE '2024-01-03' THEN 'before' WHEN CAST(ts AS DATE) = DATE '2024-01-03' THEN 'incident' ELSE 'after' END AS phase, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def incident_phases(spark, d):
+    day = F.to_date("ts")
+    return table(spark, d, "events").groupBy(E.phase(day, F.lit("2024-01-03").cast("date")).alias("phase"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id, user_id, c_name AS name, strftime(ts, '%Y-%m-%d') AS day FROM events LEFT JOIN customer ON user_id = c_custkey WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-04'""")
+def timeline_window(spark, d):
+    e = table(spark, d, "events").filter("event_type = 'purchase' AND ts >= TIMESTAMP_NTZ '2024-01-02' AND ts < TIMESTAMP_NTZ '2024-01-04'")
+    names = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
+    return e.join(names, "user_id", "left").select("event_id", "user_id", "name", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+
+
+@query(f"""WITH {CALLS} SELECT evidence, abs(micros - 1704200000000000) AS away FROM calls ORDER BY away, evidence LIMIT 10""")
+def nearest_events(spark, d):
+    return calls(spark, d).select("evidence", F.abs(F.col("micros") - 1704200000000000).alias("away")).orderBy("away", "evidence").limit(10)
+
+
+@query("""WITH r AS (SELECT CASE WHEN text IS NULL OR text = '' THEN 'EMPTY' WHEN length(text) < 200 THEN 'SHORT' WHEN lang NOT IN ('en', 'de') THEN 'LANGUAGE' ELSE 'ACCEPTED' END AS reason FROM documents),
+    n AS (SELECT reason, count(*) AS n FROM r GROUP BY reason) SELECT reason, n, round(n / (SELECT sum(n) FROM n), 6) AS share FROM n""")
+def quarantine_split(spark, d):
+    docs = table(spark, d, "documents").select("text", "lang")
+    return E.rejected_share(E.with_reason(docs, {"EMPTY": F.col("text").isNull() | (F.col("text") == ""), "SHORT": F.length("text") < 200, "LANGUAGE": ~F.col("lang").isin("en", "de")}))
+
+
+@query("""SELECT event_type, count(*) AS n, count(*) FILTER (value > 5) AS dismissed, round(count(*) FILTER (value > 5) / count(*), 6) AS rate, count(*) >= 3 AND count(*) FILTER (value > 5) / count(*) >= 0.7 AS recalibrate FROM events GROUP BY event_type""")
+def dismissal_rate(spark, d):
+    return E.dismissal_rates(table(spark, d, "events"), "event_type", F.col("value") > 5)
