@@ -146,6 +146,18 @@ def test_language(spark):
     assert {r.lang_pred for r in language_id.identify(odd).collect()} == {"und"}
 
 
+def test_language_sample_is_never_empty(spark):
+    """More rows than buckets times the bound, one row many times, one doc_id for all, and less than the bound."""
+    rows = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("the house "), F.col("id")).alias("text"))
+    rows = rows.union(spark.range(3000).select(F.lit(7), F.lit("de"), F.lit("das haus"))).union(spark.range(3000).select(F.lit(None), F.lit("fr"), F.concat(F.lit("la maison "), F.col("id"))))
+    rows = rows.union(spark.range(3).select("id", F.lit("es"), F.lit("la casa")))
+    got = [r.asDict() for r in language_id.sampled(rows, language_id.Settings(sample=5)).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("texts")).collect()]
+    assert {r["lang"]: (r["n"], r["texts"]) for r in got} == {"en": (5, 5), "de": (5, 1), "fr": (5, 5), "es": (3, 1)}
+    first = sorted(r.text for r in language_id.sampled(rows, language_id.Settings(sample=300)).filter("lang = 'en'").collect())
+    assert len(first) == 300 and first == sorted(r.text for r in language_id.sampled(rows.repartition(5), language_id.Settings(sample=300)).filter("lang = 'en'").collect())
+    assert language_id.fit(rows, language_id.Settings(sample=5)).langs == ["de", "en", "es", "fr"]
+
+
 def test_kd_trees(spark):
     r = np.random.default_rng(3)
     v = np.concatenate([r.normal(size=(300, 8)), np.ones((40, 8))])

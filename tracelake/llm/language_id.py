@@ -5,8 +5,8 @@ the model knows is scored as a whole. A word that it doesn't know is covered fro
 longest known character n-grams (of the word with bounds), falling back to shorter ones; a character
 unknown even alone scores the same for all languages.
 
-The classifier is fit on a bounded sample: of every language, whole hash buckets of labelled training
-rows until `sample` rows are reached (all rows if there are no more). Words and n-grams kept per
+The classifier is fit on a bounded sample: of every language, the first `sample` labelled training rows
+by a hash of doc_id and text (all rows if there are no more). Words and n-grams kept per
 language are bounded too, so the model can be sent to all tasks. Everything is predicted.
 
 A language's score is its share: the softmax of the mean log frequency per scored unit, times a
@@ -24,10 +24,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, schema_with
+from .common import cut, remainder, schema_with
 
 WORDS = regex.compile(r"[\p{L}\p{M}]+").findall
 LETTER = regex.compile(r"\p{L}").search
@@ -65,13 +65,29 @@ class Model:
         return total, n
 
 
+def crossing(sizes: DataFrame, part: str, room: Column) -> DataFrame:
+    """Per language the part in which the running number of rows reaches `room` (none if it never does): lang, part, room left in it."""
+    run = sizes.withColumn("upto", F.sum("count").over(Window.partitionBy("lang").orderBy(part))).withColumn("before", F.col("upto") - F.col("count"))
+    return run.filter((F.col("before") < room) & (F.col("upto") >= room)).select("lang", F.col(part).alias(f"last_{part}"), (room - F.col("before")).alias("room"))
+
+
 def sampled(rows: DataFrame, settings: Settings) -> DataFrame:
-    """Training rows (lang, text), bounded per language: hash buckets, in order, until their rows reach the bound."""
-    spread = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4096)))
-    sizes = spread.groupBy("lang", "bucket").count()
-    upto = sizes.withColumn("sum", F.sum("count").over(Window.partitionBy("lang").orderBy("bucket"))).filter(F.col("sum") <= settings.sample)
-    last = upto.groupBy("lang").agg(F.max("bucket").alias("last"))
-    return spread.join(F.broadcast(last), "lang").filter("bucket <= last").select("lang", "text")  # one row per language
+    """Training rows (lang, text): of every language the first `sample` by a hash of doc_id and text, or all if there are no more.
+
+    Two levels of 4096 counts per language find the part in which the bound is reached; only that part's rows are ranked, so nothing
+    is sorted as a whole, and a part of any size (equal rows) fills what room is left."""
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    spread = hashed.withColumn("bucket", F.pmod("h", F.lit(4096))).withColumn("part", F.pmod(F.shiftrightunsigned("h", 12), F.lit(4096)))
+    outer = crossing(spread.groupBy("lang", "bucket").count(), "bucket", F.lit(settings.sample))
+    within = spread.join(F.broadcast(outer), "lang").filter("bucket = last_bucket").groupBy("lang", "part", "last_bucket", "room").count()  # one row per language
+    ends = crossing(within, "part", F.col("room")).join(outer.drop("room"), "lang")
+    at_last = F.col("bucket") == F.col("last_bucket")
+    inside = F.col("last_bucket").isNull() | (F.col("bucket") < F.col("last_bucket")) | (at_last & (F.col("part") < F.col("last_part")))
+    edge = at_last & (F.col("part") == F.col("last_part"))
+    near = cut(spread.join(F.broadcast(ends), "lang", "left").withColumn("inside", F.coalesce(inside, F.lit(False))).filter(F.col("inside") | edge))  # one row per language
+    ranked = near.filter("not inside").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text")))
+    fill = ranked.filter((F.col("k") <= settings.sample) & (F.col("k") <= F.col("room")))  # the constant bound is applied before the shuffle
+    return near.filter("inside").select("lang", "text").union(fill.select("lang", "text"))
 
 
 def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
