@@ -226,6 +226,18 @@ def test_prob_minhash(docs):
     assert kept.columns == docs.columns and kept.count() == got.filter("kept").count()
 
 
+def test_prob_minhash_finds_copies_with_a_repeated_line(spark):
+    """Sets of shingles that are alike by more than 0.9, though one text has a line 60 times more."""
+    r = random.Random(8)
+    rows = []
+    for i in range(20):
+        base = " ".join(f"w{r.randrange(10**6)}" for _ in range(304))
+        line = " ".join(f"x{r.randrange(10**6)}" for _ in range(10))
+        rows += [(2 * i, base), (2 * i + 1, " ".join([base, *[line] * 60]))]
+    got = {x.doc_id: x.class_id for x in prob_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(40)}
+
+
 def test_prob_minhash_estimates():
     h = np.arange(400, dtype="u8")
     owner = np.repeat([0, 1], 300)

@@ -1,9 +1,10 @@
 """Near-duplicate classes by ProbMinHash.
 
-A document's shingles (five words, lower-cased) weigh as often as they occur. ProbMinHash simulates a
-Poisson process per shingle, with its weight as rate, from the shingle's own random stream: every
-arrival hits one of the signature's places, and a place keeps the shingle with the earliest arrival.
-Two signatures agree in a place with the probability Jaccard similarity of the weighted shingles.
+ProbMinHash simulates a Poisson process per shingle (five words, lower-cased), with its weight as rate,
+from the shingle's own random stream: every arrival hits one of the signature's places, and a place keeps
+the shingle with the earliest arrival. Two signatures agree in a place with the probability Jaccard
+similarity of the weighted shingles. All weights are 1 here, however often a shingle occurs, so that this
+is the Jaccard similarity of the sets, by which links are decided.
 First arrivals of all shingles are drawn, then second ones and so on; a shingle stops early, once its
 arrivals are later than what all places hold.
 
@@ -117,11 +118,11 @@ def sketch(docs: DataFrame, words: int, places: int, rows: int) -> DataFrame:
             for start in range(0, batch.num_rows, 500):
                 b = batch.slice(start, 500)
                 texts = [(t or "").lower() for t in b.column("text").to_pylist()]
-                sets = [np.unique(hasher.shingles(t, words), return_counts=True) for t in texts]
-                sizes = np.array([len(x) for x, _ in sets])
-                sig = signatures(np.repeat(np.arange(len(sets)), sizes), np.concatenate([x for x, _ in sets]), np.concatenate([n for _, n in sets]).astype("f8"), len(sets), places)
+                sets = [np.unique(hasher.shingles(t, words)) for t in texts]
+                sizes = np.array([len(x) for x in sets])
+                sig = signatures(np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets), np.ones(sizes.sum()), len(sets), places)
                 bands = band_keys(sig, rows).view("i8")
-                digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x, _ in sets]
+                digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), *([b.column("number")] if numbered else []), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(list(bands), pa.list_(pa.int64())), pa.array([(x & np.uint64(0xFF)).astype("u1").tobytes() for x in sig], pa.binary()), pa.array([pack(" ".join(t.split()).encode()) for t in texts], pa.binary())],
                     ["doc_id", *(["number"] if numbered else []), "digest", "size", "bands", "sig", "packed"],
