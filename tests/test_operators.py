@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import scalar as S
 from tracelake.operators import graph as G
 from tracelake.operators import patterns as P
+from tracelake.plans import catalog
 from tracelake.sources import read_csv
 
 
@@ -57,3 +58,11 @@ def test_read_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text("﻿id;name;name\n1; x ;y\n2;z\n")
     got = [tuple(r) for r in read_csv(spark, str(tmp_path / "a.csv")).collect()]
     assert got == [("1", "x", "y"), ("2", "z", "")]
+
+
+def test_burner_phones_read_all_calls(spark, tmp_path):
+    rows = [(1, 1, "signup", "2024-01-01", 8), (2, 1, "login", "2024-01-02", 9), (3, 200, "signup", "2024-01-01", 8), (4, 200, "signup", "2024-01-02", 9), (5, 200, "login", "2024-06-01", 9)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts string, k int")
+    events = events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"), F.format_string('{"k": %d}', "k").alias("props"), F.lit(1.0).alias("value"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted((r.phone, r.counterparties, r.calls) for r in catalog.QUERIES["burner_phones_all"](spark, str(tmp_path)).collect()) == [(1, 2, 2), (8, 2, 2)]

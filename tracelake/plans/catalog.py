@@ -73,6 +73,14 @@ def burner_phones(spark, d):
     return P.burner_phones(calls(spark, d).filter("event_type = 'signup' AND src > 100"), 30, 2)
 
 
+@query(f"""WITH {CALLS}, b AS (SELECT src AS phone, dst AS other, micros FROM calls UNION ALL SELECT dst, src, micros FROM calls),
+    p AS (SELECT phone, count(DISTINCT other) AS counterparties, count(*) AS calls, round((max(micros) - min(micros)) / 86400000000.0, 4) AS lifespan_days FROM b GROUP BY phone)
+    SELECT * FROM p WHERE lifespan_days <= 30 AND counterparties >= 2""")
+def burner_phones_all(spark, d):
+    """Over all calls; burner_phones reads a slice of them."""
+    return P.burner_phones(calls(spark, d), 30, 2)
+
+
 @query(f"""WITH {CALLS}, p AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM calls WHERE src <> dst GROUP BY ALL), s AS (SELECT avg(n) AS m, stddev_pop(n) AS sd FROM p)
     SELECT a, b, n, round((n - m) / sd, 4) AS z FROM p, s WHERE n >= 2 AND (n - m) / sd >= 2""")
 def communication_anomalies(spark, d):
