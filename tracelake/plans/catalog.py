@@ -139,6 +139,13 @@ def components(spark, d):
     return G.components(p)
 
 
+@query()
+def components_all(spark, d):
+    """Over all rows; components reads a slice of them, which the recursive SQL can bear."""
+    p = table(spark, d, "lineitem").select(F.concat(F.lit("A"), F.col("l_partkey")).alias("src"), F.concat(F.lit("B"), F.col("l_suppkey")).alias("dst"))
+    return G.components(p)
+
+
 @query()
 def pagerank(spark, d):
     edges = _bipartite(spark, d).groupBy("src", "dst").agg(F.lit(1.0).alias("weight"))
@@ -152,6 +159,14 @@ def shared_pairs(spark, d):
     return G.shared_pairs(li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("person"), F.col("l_partkey").alias("entity")))
 
 
+@query("""WITH l AS (SELECT DISTINCT o_custkey AS person, l_partkey AS entity FROM lineitem JOIN orders ON l_orderkey = o_orderkey), k AS (SELECT *, count(*) OVER (PARTITION BY entity) AS n FROM l)
+    SELECT a.person AS a, b.person AS b, count(*) AS shared FROM k a JOIN k b ON a.entity = b.entity AND a.person < b.person WHERE a.n BETWEEN 2 AND 12 GROUP BY ALL""")
+def shared_pairs_all(spark, d):
+    """Over all rows; shared_pairs counts persons per entity within a slice of them."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    return G.shared_pairs(li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("person"), F.col("l_partkey").alias("entity")))
+
+
 @query(f"""WITH {TX}, p AS (SELECT c_custkey AS person, n_regionkey AS c FROM customer JOIN nation ON c_nationkey = n_nationkey), s AS (SELECT s_suppkey AS org, n_regionkey AS c FROM supplier JOIN nation ON s_nationkey = n_nationkey)
     SELECT p.c AS case_a, s.c AS case_b, count(*) AS links, count(DISTINCT src) AS people FROM tx JOIN p ON src = person JOIN s ON dst = org WHERE p.c <> s.c GROUP BY ALL""")
 def cross_case_links(spark, d):
