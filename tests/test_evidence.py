@@ -28,3 +28,9 @@ def test_quarantine_is_idempotent(spark, tmp_path):
         E.write_quarantine(rows, "id", str(tmp_path / "q"))
     assert sorted((r.id, r.reason) for r in spark.read.parquet(str(tmp_path / "q")).collect()) == [(2, "NULL"), (3, "EMPTY")]
     assert {(r.reason, r.n) for r in E.rejected_share(rows).collect()} == {("NULL", 2), ("EMPTY", 1), ("ACCEPTED", 1)}
+
+
+def test_case_network_counts_hubs(spark):
+    links = spark.createDataFrame([(c, e) for e in ("x", "y") for c in range(60)] + [(0, "z"), (1, "z")], "case_id long, entity string")
+    got = {(r.a, r.b): (r.shared, r.evidence) for r in E.case_network(links).collect()}
+    assert len(got) == 60 * 59 // 2 and got.pop((0, 1)) == (3, 6) and set(got.values()) == {(2, 4)}

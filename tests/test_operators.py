@@ -76,3 +76,16 @@ def test_components_and_shared_pairs_read_all_rows(spark, tmp_path):
     got = {r.node: r.component for r in catalog.QUERIES["components_all"](spark, str(tmp_path)).collect()}
     assert got == {"A1": "A1", "A2": "A1", "B1": "A1", "B2": "A1", "A3": "A3", "B3": "A3"}
     assert [tuple(r) for r in catalog.QUERIES["shared_pairs_all"](spark, str(tmp_path)).collect()] == [(101, 102, 1)]
+
+
+def test_temporal_paths_of_four_hops(spark):
+    rows = [(1, 3, 1), (3, 4, 2), (4, 5, 3), (2, 5, 4), (3, 2, 0), (3, 2, 2), (1, 2, 9), (5, 6, 3), (6, 2, 5), (4, 2, 1), (1, 5, 4), (7, 7, 1)]
+    got = sorted(tuple(r.path) for r in G.temporal_paths_between(spark.createDataFrame(rows, "src long, dst long, at long"), 1, 2).collect())
+
+    def walk(path, at):
+        if path[-1] == 2:
+            return [path]
+        steps = [(y, t) for a, b, t in rows for x, y in ((a, b), (b, a)) if x == path[-1] and y not in path and t >= at] if len(path) < 5 else []
+        return [p for y, t in steps for p in walk((*path, y), t)]
+
+    assert got == sorted(walk((1,), -1)) and (1, 3, 4, 5, 2) in got

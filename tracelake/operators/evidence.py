@@ -20,15 +20,16 @@ def strength(shared: Column, related: Column, evidence: Column) -> Column:
     return F.when(strong, "STRONG").when((shared >= 2) | (related >= 1) | (evidence >= 2), "MODERATE").otherwise("WEAK")
 
 
-def case_network(links: DataFrame, cap: int = 50) -> DataFrame:
+def case_network(links: DataFrame, cap: int | None = None) -> DataFrame:
     """Pairs of cases (a < b) with shared entities and the evidence for these, from links (case_id, entity), one per record. Entities of
-    more than `cap` cases are hubs (see suppressed_hubs): what all share tells no pair apart."""
+    the same set of cases are counted first, so that hubs with one set make its pairs once. Entities of more than `cap` cases are left out, if it is given."""
     per = links.groupBy("entity", "case_id").agg(F.count(F.lit(1)).alias("evidence"))
-    of = per.groupBy("entity").agg(F.count(F.lit(1)).alias("cases")).filter(F.col("cases").between(2, cap))
-    per = per.join(of.select("entity"), "entity")
-    other = per.select("entity", F.col("case_id").alias("b"), F.col("evidence").alias("more"))
-    pairs = per.withColumnRenamed("case_id", "a").join(other, "entity").filter("a < b")
-    out = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.sum(F.col("evidence") + F.col("more")).alias("evidence"))
+    of = per.groupBy("entity").agg(F.count(F.lit(1)).alias("cases"), F.sha2(F.to_json(F.sort_array(F.collect_set("case_id"))), 256).alias("set"))
+    of = of.filter(F.col("cases") >= 2 if cap is None else F.col("cases").between(2, cap))
+    per = per.join(of.select("entity", "set"), "entity").groupBy("set", "case_id").agg(F.count(F.lit(1)).alias("shared"), F.sum("evidence").alias("evidence"))
+    other = per.select("set", F.col("case_id").alias("b"), F.col("evidence").alias("more"))
+    pairs = per.withColumnRenamed("case_id", "a").join(other, "set").filter("a < b")
+    out = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.sum(F.col("evidence") + F.col("more")).alias("evidence"))
     return out.withColumn("strength", strength(F.col("shared"), F.lit(0), F.col("evidence")))
 
 

@@ -132,6 +132,18 @@ def temporal_paths(spark, d):
     return paths.groupBy(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path")).agg(F.count(F.lit(1)).alias("times"), F.min("start").alias("first"))
 
 
+@query(f"""WITH {CALLS}, e AS (SELECT src, dst, micros FROM calls WHERE src <> dst UNION ALL SELECT dst, src, micros FROM calls WHERE src <> dst),
+    h1 AS (SELECT [src, dst] AS p, dst AS tip, micros AS s, micros AS t FROM e WHERE src = 1),
+    h2 AS (SELECT list_append(p, dst) AS p, dst AS tip, s, micros AS t FROM h1 JOIN e ON tip = src WHERE tip <> 2 AND micros >= t AND NOT list_contains(p, dst)),
+    h3 AS (SELECT list_append(p, dst) AS p, dst AS tip, s, micros AS t FROM h2 JOIN e ON tip = src WHERE tip <> 2 AND micros >= t AND NOT list_contains(p, dst)),
+    h4 AS (SELECT list_append(p, dst) AS p, dst AS tip, s, micros AS t FROM h3 JOIN e ON tip = src WHERE tip <> 2 AND dst = 2 AND micros >= t AND NOT list_contains(p, dst)),
+    q AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3 UNION ALL SELECT * FROM h4) SELECT array_to_string(p, '>') AS path, count(*) AS times, min(s) AS first FROM q WHERE tip = 2 GROUP BY ALL""")
+def temporal_paths_between(spark, d):
+    """Up to four hops between phones 1 and 2; temporal_paths stops at two."""
+    paths = G.temporal_paths_between(calls(spark, d).withColumn("at", F.col("micros")), 1, 2)
+    return paths.groupBy(F.array_join(F.col("path").cast("array<string>"), ">").alias("path")).agg(F.count(F.lit(1)).alias("times"), F.min("start").alias("first"))
+
+
 @query("""WITH RECURSIVE p AS (SELECT DISTINCT l_partkey AS part, l_suppkey AS supp FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1), e AS (SELECT 'A' || part AS src, 'B' || supp AS dst FROM p), b AS (SELECT src AS n, dst AS t FROM e UNION SELECT dst, src FROM e),
     r(node, r) AS (SELECT DISTINCT n, n FROM b UNION SELECT b.t, r.r FROM r JOIN b ON b.n = r.node) SELECT node, min(r) AS component FROM r GROUP BY node""")
 def components(spark, d):
