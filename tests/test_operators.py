@@ -1,10 +1,12 @@
 """Operators on small hand-made tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tracelake.functions import scalar as S
 from tracelake.operators import graph as G
 from tracelake.operators import patterns as P
+from tracelake.operators import search as V
 from tracelake.plans import catalog
 from tracelake.sources import read_csv
 
@@ -89,3 +91,14 @@ def test_temporal_paths_of_four_hops(spark):
         return [p for y, t in steps for p in walk((*path, y), t)]
 
     assert got == sorted(walk((1,), -1)) and (1, 3, 4, 5, 2) in got
+
+
+def test_cosine_answers_every_query(spark):
+    v = np.random.default_rng(4).normal(size=(200, 6))
+    v[120:140] = v[100]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(250, None), (300, [0.0] * 6), (350, [float("nan")] * 6), (400, [1.0] * 5)]
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in V.cosine_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, block=32).collect())
+    u = v / np.sqrt((v * v).sum(1))[:, None]
+    c = np.round(u @ u.T, 9)
+    want = {q: sorted((-c[q, i], i) for i in range(200) if i != q and c[q, i] >= 0.05)[:8] for q in (0, 50, 100, 150)}
+    assert got == [(q, k, i) for q, best in want.items() for k, (_, i) in enumerate(best, 1)]

@@ -11,6 +11,7 @@ from tracelake.functions import scalar as S
 from tracelake.operators import evidence as E
 from tracelake.operators import graph as G
 from tracelake.operators import patterns as P
+from tracelake.operators import search as V
 from tracelake.sources import calls, persons, table, transfers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,6 +216,13 @@ def cosine_of_query(spark, d):
     return e.filter("vec_id <> 0").crossJoin(F.broadcast(q)).select("query_id", "vec_id", F.round(S.cosine(F.col("q"), F.col("embedding")), 4).alias("cosine"))  # one query row
 
 
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 12) AS c
+    FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM s WHERE c >= 0.05) SELECT query_id, rank, vec_id, round(c, 4) AS cosine FROM r WHERE rank <= 8""")
+def cosine_top_k(spark, d):
+    """All query rows; cosine_of_query scores one of them."""
+    return V.cosine_top_k(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("""SELECT c_custkey, lower(regexp_replace(c_name, '[^A-Za-z0-9]+', ' ', 'g')) AS norm, 'XXXX' || right(c_name, 4) AS masked, sha256(c_name || '|' || chr(0) || '|') AS digest FROM customer""")
 def scalar_names(spark, d):
     c = table(spark, d, "customer")
