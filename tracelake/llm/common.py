@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: ASCII white space `[\x20\x09-\x0D]`, as a Java regex class.
-WHITE = r"[\x20\x09-\x0D]"
-
+from tracelake.scratch import cut, release
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="tracelake-checkpoint-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
-    return folder
+__all__ = ["WHITE", "cut", "load", "release", "remainder", "schema_with"]
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a written table in the shared folder, which outlives any executor."""
-    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: ASCII white space `[\x20\x09-\x0D]`, as a Java regex class.
+WHITE = r"[\x20\x09-\x0D]"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

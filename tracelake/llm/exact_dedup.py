@@ -3,19 +3,29 @@
 Texts are equal when identical after deleting ASCII white space. A normalised text is cut where its
 content says so: after a least length, at the next of certain character pairs, or at a greatest
 length. So equal passages give equal chunks wherever they stand. Chunks are deduplicated with their
-contents compared, which verifies that no two contents share an identifier (a 64-bit hash; if two
-ever do, SHA-256 takes its place and is verified likewise). From then on a document is its recipe,
-the ordered list of identifiers: a hundredth of the text, and the only thing that is grouped.
+contents compared: a chunk's identifier is a 128-bit hash of it, and contents that share one (none is
+expected to) are told apart by a number that is added to it. So identifiers are verified: equal ones mean
+equal contents. From then on a document is its recipe, the ordered list of identifiers (16 bytes for some
+270 characters), and only recipes are grouped; a chunk's content moves once, at most once for each task
+that holds it.
 
 The rows that stay and the sizes come from a grouping by recipe with map-side combine; rows find
 their group by an equi-join whose large partitions Spark splits, so a group may hold a third of all
-rows. Null text counts as empty. A null doc_id loses against any other. Repeated rows (equal doc_id
-and text) form a group like any other, of which one row stays.
+rows.
+
+- Nulls: null text counts as empty. A null doc_id loses against any other.
+- Empty texts have the empty recipe and are one group. Empty tables give no row.
+- Very long texts have long recipes, and never move as a whole where they are marked.
+- Ties: of rows of equal length and doc_id the one first in the input stays. Repeated rows (equal doc_id
+  and text) form a group like any other.
+- Columns: `mark` reads doc_id and text only; `survivors` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WHITE, cut
@@ -32,24 +42,38 @@ def chunks(norm: str) -> Column:
     return F.regexp_extract_all(F.col(norm), F.lit(rf"(?s).{{{LEAST},{MOST - 2}}}?{ENDS}|.{{1,{MOST}}}"), F.lit(0))
 
 
-#: Identifiers, in the order in which they are tried.
-IDENTIFIERS = (lambda c: F.xxhash64(c), lambda c: F.sha2(c, 256))
+def identifier(chunk: Column) -> Column:
+    return F.unhex(F.md5(chunk))
+
+
+def clashes(texts: DataFrame, of: Callable[[Column], Column]) -> DataFrame:
+    """(id, chunk, more): all contents of identifiers that more than one content has, and the number that tells a content apart."""
+    contents = texts.select(F.explode(chunks("norm")).alias("chunk")).distinct().withColumn("id", of(F.col("chunk")))
+    ids = cut(contents.groupBy("id").count().filter("count > 1").select("id"))
+    if ids.isEmpty():
+        return ids.withColumn("chunk", F.lit("")).withColumn("more", F.lit(0))
+    shared = contents.join(ids, "id")
+    return cut(shared.withColumn("more", F.row_number().over(Window.partitionBy("id").orderBy("chunk"))))
 
 
-def clashes(texts: DataFrame, identifier) -> bool:
-    """Whether two contents share an identifier: distinct contents per identifier, compared in full."""
-    store = texts.select(F.explode(chunks("norm")).alias("chunk")).select(identifier(F.col("chunk")).alias("id"), "chunk").distinct()
-    return not store.groupBy("id").count().filter("count > 1").isEmpty()
+def repaired(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rows (number, norm, recipe) with the numbers of shared identifiers added; only rows that hold one are taken apart."""
+    parts = rows.select("number", F.posexplode(F.arrays_zip(chunks("norm").alias("chunk"), F.col("recipe").alias("id"))).alias("at", "x")).select("number", "at", "x.chunk", "x.id")
+    found = parts.join(shared, ["id", "chunk"]).select("number", F.struct("at", "more").alias("mark"))
+    marks = found.groupBy("number").agg(F.map_from_entries(F.collect_list("mark")).alias("marks"))  # of one row each
+    added = F.transform("recipe", lambda x, i: F.when(F.element_at("marks", i).isNull(), x).otherwise(F.concat(x, F.encode(F.element_at("marks", i).cast("string"), "UTF-8"))))
+    return rows.join(marks, "number", "left").withColumn("recipe", F.when(F.col("marks").isNull(), F.col("recipe")).otherwise(added)).drop("marks")
 
 
-def recipes(docs: DataFrame, carry: list[str]) -> DataFrame:
+def recipes(docs: DataFrame, carry: list[str], of: Callable[[Column], Column] = identifier) -> DataFrame:
     """A written table of doc_id, points, text_sha256, recipe and a number for each row, with the columns to carry in a struct."""
-    texts = docs.select(normalised().alias("norm"))
-    identifier = next((i for i in IDENTIFIERS if not clashes(texts, i)), None)
-    if identifier is None:
-        raise RuntimeError("two chunks share a SHA-256")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm"), F.length(F.coalesce("text", F.lit(""))).alias("points"), F.struct(*carry).alias("row") if carry else F.lit(None).cast("int").alias("row"))
-    return cut(rows.select("doc_id", "points", F.sha2("norm", 256).alias("text_sha256"), F.transform(chunks("norm"), identifier).alias("recipe"), F.monotonically_increasing_id().alias("number"), "row"))
+    shared = clashes(docs.select(normalised().alias("norm")), of)
+    row = F.struct(*carry) if carry else F.lit(None).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm"), F.length(F.coalesce("text", F.lit(""))).alias("points"), F.monotonically_increasing_id().alias("number"), row.alias("row"))
+    rows = rows.withColumn("text_sha256", F.sha2("norm", 256)).withColumn("recipe", F.transform(chunks("norm"), of))
+    if not shared.isEmpty():
+        rows = repaired(cut(rows), shared)
+    return cut(rows.drop("norm"), shared)
 
 
 def groups(rows: DataFrame) -> DataFrame:
@@ -58,9 +82,9 @@ def groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), best).select("recipe", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.number").alias("keep_number"))
 
 
-def mark(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = recipes(docs, []).drop("row")
+def mark(docs: DataFrame, of: Callable[[Column], Column] = identifier) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. `of` makes identifiers of chunks; even a weak one gives the same rows."""
+    rows = recipes(docs, [], of).drop("row")
     return rows.join(groups(rows), "recipe").select("doc_id", "keep_id", "group_size", (F.col("number") == F.col("keep_number")).alias("kept"), "text_sha256")
 
 

@@ -1,22 +1,28 @@
 """Language identification by word-first backoff.
 
-The model holds log frequencies per language of frequent words and of character n-grams. A word that
-the model knows is scored as a whole. A word that it doesn't know is covered from left to right by the
-longest known character n-grams (of the word with bounds), falling back to shorter ones; a character
-unknown even alone scores the same for all languages.
+The model holds log frequencies per language of words and of character n-grams. A word that the model
+knows is scored as a whole. A word that it doesn't know is covered from left to right by the longest
+known character n-grams (of the word with bounds), falling back to shorter ones; a character unknown
+even alone scores the same for all languages.
 
 The classifier is fit on a bounded sample: of every language, the first `sample` labelled training rows
-by a hash of doc_id and text (all rows if there are no more). Words and n-grams kept per
-language are bounded too, so the model can be sent to all tasks. Everything is predicted.
+by a hash of doc_id and text (all rows if there are no more). All words and n-grams of the sample are
+kept, so the sample alone bounds the model that is sent to all tasks. Everything is predicted.
 
 A language's score is its share: the softmax of the mean log frequency per scored unit, times a
-sharpness. Texts that are null or have no letter are `und` with score 0. Rows whose lang is null teach
-nothing; with no training rows at all every text is `und`.
+sharpness.
+
+- Nulls: a null text, like one without a letter, is `und` with score 0; a null lang teaches nothing; a
+  null doc_id is in the fold of the empty text.
+- Empty tables: no row comes back; with no training rows at all every text is `und`.
+- Very long texts are read whole, their words in steps of bounded size.
+- Repeated rows are predicted each, and each counts as a row of the sample.
+- Ties between languages go to the first by name.
+- Columns: a column named like an output is replaced, all others are kept where rows are kept.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,16 +43,15 @@ LETTER = regex.compile(r"\p{L}").search
 class Settings:
     sample: int = 2000  # training rows per language, at most
     longest: int = 4  # of the n-grams
-    words: int = 30_000  # kept per language
-    grams: int = 20_000  # kept per language and length
     sharpness: float = 4.0
 
 
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)  # log frequency by language
-    grams: dict[str, np.ndarray] = field(default_factory=dict)
+    words: dict[str, int] = field(default_factory=dict)  # rows of `logs`
+    grams: dict[str, int] = field(default_factory=dict)
+    logs: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))  # log frequency by unit and language
     settings: Settings = Settings()
 
     def unseen(self, word: str) -> tuple[np.ndarray, int]:
@@ -56,7 +61,7 @@ class Model:
         while i < len(text):
             for k in range(min(self.settings.longest, len(text) - i), 0, -1):
                 if (got := self.grams.get(text[i : i + k])) is not None:
-                    total += got
+                    total += self.logs[got]
                     n += 1
                     break
             else:
@@ -112,19 +117,17 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "k", "unit", "n"])
 
     counts = sampled(rows, settings).mapInArrow(count, "lang string, k int, unit string, n long").groupBy("lang", "k", "unit").agg(F.sum("n").alias("n"))
-    ranked = counts.withColumn("all", F.sum("n").over(Window.partitionBy("lang", "k"))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "k").orderBy(F.desc("n"), "unit")))
-    kept = ranked.filter(F.col("rank") <= F.when(F.col("k") == 0, settings.words).otherwise(settings.grams)).select("lang", "k", "unit", "n", "all").toPandas()  # bounded by the settings
+    kept = counts.toPandas()  # bounded by the sample
     langs = sorted(kept["lang"].unique())
-    model = Model(langs, settings=settings)
-    at = {x: i for i, x in enumerate(langs)}
-    totals = {(lang, k): n for lang, k, n in kept.groupby(["lang", "k"])["all"].first().reset_index().itertuples(index=False)}
-    floors = {k: np.array([math.log(0.5 / (totals.get((x, k), 0) + 1)) for x in langs]) for k in range(longest + 1)}
-    for lang, k, unit, n, total in kept.itertuples(index=False):
-        table = model.grams if k else model.words
-        if unit not in table:
-            table[unit] = floors[k].copy()
-        table[unit][at[lang]] = math.log(n / total)
-    return model
+    k, lang, n = kept["k"].to_numpy(), np.searchsorted(langs, kept["lang"]) if len(kept) else np.empty(0, int), kept["n"].to_numpy()
+    totals = np.zeros((longest + 1, len(langs)))
+    np.add.at(totals, (k, lang), n)
+    tables: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    at = np.array([tables[kind > 0].setdefault(unit, len(tables[0]) + len(tables[1])) for kind, unit in zip(k, kept["unit"], strict=True)], int)
+    logs = np.zeros((len(tables[0]) + len(tables[1]), len(langs)))
+    logs[at] = np.log(0.5 / (totals + 1))[k]  # a unit that a language of the sample doesn't have
+    logs[at, lang] = np.log(n / totals[k, lang])
+    return Model(langs, *tables, logs, settings)
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -144,7 +147,7 @@ class Scorer:
         if len(self.at) >= self.cached:
             self.at.clear()
         known = self.model.words.get(word)
-        total, n = (known, 1) if known is not None else self.model.unseen(word)
+        total, n = (self.model.logs[known], 1) if known is not None else self.model.unseen(word)
         i = self.at[word] = len(self.at)
         self.rows[i, :-1], self.rows[i, -1] = total, n
         return i
@@ -173,7 +176,7 @@ class Scorer:
 def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """Adds the predicted language and its score to all rows; columns of these names are replaced."""
     docs = docs.drop(lang, score)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's settings
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)

@@ -3,21 +3,28 @@
 Base kinds are found in the text as it is. Then transducers rewrite disguises into plain characters,
 and each output character keeps the source span that it came from:
 
-- homoglyphs: full-width forms and the Cyrillic and Greek letters that look like Latin ones, invisible
-  characters between others;
-- spelled digits: runs of seven or more digit words (so that prose keeps its numbers);
-- at and dot in disguise: `(at)`, `[at]`, `{at}`, ` at ` with a spelled or bracketed dot after it.
+- homoglyphs: full-width and mathematical forms, digits of other scripts, the Cyrillic and Greek letters
+  that look like Latin ones, and invisible characters between others;
+- spelled digits (also `double five`): runs of seven or more, and those that touch a plus, further digits
+  or a dot in disguise; so prose keeps its other numbers;
+- at and dot in disguise: `(at)`, `[dot]`, `[.]`, ` at `, ` dot `, ` @ `, in addresses of any number of
+  parts and between the four numbers of an ip; at least one of them must be bracketed, spaced or `dot`.
 
 Identifiers found in the rewritten text are mapped back to source spans. Spans that overlap a base
 span of their kind aren't added: base spans stay as they are.
 
-Null text counts as empty. Spans count code points, end exclusive.
+- Nulls: null text counts as empty and has no spans; doc_id is only passed on.
+- Very long texts are read whole, in passes that are linear in their length.
+- Repeated rows are read each. Ties: spans go by start, then kind as listed, then end.
+- Empty tables give no row. `detect` replaces a column named like its output and keeps all others.
+- Spans count code points, end exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -36,15 +43,21 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Letters that look like Latin ones, and the digit words; fixed values.
 LOOKALIKES = dict(zip("АВЕЅІЈКМНОРСТХУаеорсухіјѕԁһΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABESIJKMHOPCTXYaeopcyxijsdhABEZHIKMNOPTYXo", strict=True))
-INVISIBLE = frozenset("­​‌‍⁠﻿")
+INVISIBLE = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff")
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-WORD = "|".join(DIGITS)
-SPELLED = re.compile(rf"(?i)(?<![A-Za-z])(?:(?:plus\x20+)?(?:{WORD})(?:[\x20,-]+(?:{WORD}))+)(?![A-Za-z])")
-AT = r"(?:\x20*[\[({<]\x20*at\x20*[\])}}>]\x20*|\x20+at\x20+|\x20*@\x20*)"
-DOT = r"(?:\x20*[\[({<]\x20*(?:dot|\.)\x20*[\])}}>]\x20*|\x20+dot\x20+|\.)"
-DISGUISED = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:{DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}{AT}[A-Za-z0-9-]{{1,63}}(?:{DOT}[A-Za-z0-9-]{{1,63}}){{0,4}}{DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9])")
+TIMES = {"double": 2, "triple": 3}
+ITEM = rf"(?:(?:{'|'.join(TIMES)})\x20+)?(?:{'|'.join(DIGITS)})"
+SPELLED = re.compile(rf"(?i)(?<![A-Za-z])(?:plus[\x20,-]+)?{ITEM}(?:[\x20,-]+{ITEM})*(?![A-Za-z])")
+SPELLED_WORD = re.compile(rf"(?i)(?P<plus>plus)|(?:(?P<times>{'|'.join(TIMES)})\x20+)?(?P<digit>{'|'.join(DIGITS)})")
+#: What a run of digit words touches, before and after it, so that it is rewritten even if it is short.
+BEFORE = re.compile(r"(?i)(?:[0-9+][\x20,.()-]{0,4}|\x20dot\x20+|[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?)\Z")
+AFTER = re.compile(r"(?i)[\x20,.()-]{0,4}[0-9]|\x20+dot\x20|\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]")
+AT = r"\x20*[\[({<]\x20*at\x20*[\])}>]\x20*|\x20+at\x20+|\x20*@\x20*"
+DOT = r"\x20*[\[({<]\x20*(?:dot|\.)\x20*[\])}>]\x20*|\x20+dot\x20+|\."
+TOKEN = re.compile(rf"(?i)(?P<at>{AT})|(?P<dot>{DOT})|(?P<part>[A-Za-z0-9_%+-]+)")
 MARKS = re.compile(r"(?i)[\[({<]\x20*(?:at|dot|\.)\x20*[\])}>]|\x20dot\x20|\x20@|@\x20")
-ODD = re.compile("[" + "".join(LOOKALIKES) + "".join(INVISIBLE) + "！-～]")
+OTHER_DIGITS = "".join(chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd")
+ODD = re.compile("[" + "".join(LOOKALIKES) + "".join(INVISIBLE) + OTHER_DIGITS + "\uff01-\uff5e\U0001d400-\U0001d7ff]")
 
 
 def luhn(digits: str) -> bool:
@@ -108,31 +121,75 @@ class Rewritten:
 
 
 def homoglyphs(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), "" if m.group() in INVISIBLE else LOOKALIKES.get(m.group()) or unicodedata.normalize("NFKC", m.group())) for m in ODD.finditer(text)]
+    def plain_form(c: str) -> str:
+        if c in INVISIBLE:
+            return ""
+        digit = unicodedata.decimal(c, None)
+        return LOOKALIKES.get(c) or (unicodedata.normalize("NFKC", c) if digit is None else str(digit))
+
+    return [(m.start(), m.end(), plain_form(m.group())) for m in ODD.finditer(text)]
 
 
 def spelled_digits(text: str, least: int = 7) -> list[tuple[int, int, str]]:
+    """Edits of each digit word, and of the blanks between two of them."""
     out = []
     for m in SPELLED.finditer(text):
-        words = re.findall(r"[a-z]+", m.group().lower())
-        digits = "".join(DIGITS.get(w, "+") for w in words)
-        if len(digits) >= least:
-            out.append((m.start(), m.end(), digits))
+        words = list(SPELLED_WORD.finditer(text, m.start(), m.end()))
+        new = ["+" if w["plus"] else DIGITS[w["digit"].lower()] * TIMES.get((w["times"] or "").lower(), 1) for w in words]
+        if sum(map(len, new)) < least and new[0] != "+" and not BEFORE.search(text, max(0, m.start() - 12), m.start()) and not AFTER.match(text, m.end()):
+            continue
+        for k, (w, x) in enumerate(zip(words, new, strict=True)):
+            if k:
+                out.append((words[k - 1].end(), w.start(), ""))
+            out.append((w.start(), w.end(), x))
     return out
 
 
-def disguised_addresses(text: str) -> list[tuple[int, int, str]]:
-    """Whole disguised addresses; an address that is spelled plainly, or only has the word `at` and plain dots, stays."""
-    out = []
-    for m in DISGUISED.finditer(text):
-        got = m.group()
-        if MARKS.search(got):
-            new = re.sub(rf"(?i){DOT}", ".", re.sub(rf"(?i){AT}", "@", got, count=1))
-            if emails_whole(new):
-                out.append((m.start(), m.end(), new))
+def dotted(tokens: list[tuple[str, int, int]], k: int, step: int) -> int:
+    """How far parts with dots between them reach from token k, which is a part: the last token's place."""
+    while True:
+        dot, part = k + step, k + 2 * step
+        if not 0 <= part < len(tokens) or tokens[dot][0] != "dot" or tokens[part][0] != "part" or not touch(tokens, min(k, part), max(k, part)):
+            return k
+        k = part
+
+
+def touch(tokens: list[tuple[str, int, int]], i: int, j: int) -> bool:
+    return all(tokens[k][2] == tokens[k + 1][1] for k in range(i, j))
+
+
+def disguised(text: str) -> list[tuple[int, int, str]]:
+    """Edits of whole addresses and ips in disguise; one that is spelled plainly, or only has the word `at` and plain dots, stays."""
+    tokens = [(m.lastgroup, m.start(), m.end()) for m in TOKEN.finditer(text)]
+    out: list[tuple[int, int, str]] = []
+    k = 0
+    while k < len(tokens):
+        kind, _, _ = tokens[k]
+        last = k
+        if kind == "at" and 0 < k < len(tokens) - 1 and tokens[k - 1][0] == tokens[k + 1][0] == "part" and touch(tokens, k - 1, k + 1):
+            first, last = dotted(tokens, k - 1, -1), dotted(tokens, k + 1, 1)
+            while last > k + 1 and not re.fullmatch("[A-Za-z]{2,24}", text[slice(*tokens[last][1:])]):
+                last -= 2
+            edit = (tokens[first][1], tokens[last][2], spelled_out(text, tokens[first : last + 1]))
+            if last > k + 1 and MARKS.search(text, edit[0], edit[1]) and emails_whole(edit[2]) and (not out or edit[0] >= out[-1][1]):
+                out.append(edit)
+            else:
+                last = k
+        elif kind == "part" and text[tokens[k][1] : tokens[k][2]].isdigit():
+            last = dotted(tokens, k, 1)
+            edit = (tokens[k][1], tokens[last][2], spelled_out(text, tokens[k : last + 1]))
+            if last == k + 6 and MARKS.search(text, edit[0], edit[1]) and IP.fullmatch(edit[2]):
+                out.append(edit)
+            else:
+                last = k
+        k = last + 1
     return out
 
 
+def spelled_out(text: str, tokens: list[tuple[str, int, int]]) -> str:
+    return "".join({"at": "@", "dot": "."}.get(kind) or text[i:j] for kind, i, j in tokens)
+
+
 def emails_whole(text: str) -> bool:
     return next(emails(text), None) == (0, len(text))
 
@@ -141,7 +198,7 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     """Base spans and added spans: (start, kind, end)."""
     base = plain(text)
     r, changed = Rewritten(text), False
-    for applies, step in ((lambda t: not t.isascii(), homoglyphs), (lambda t: True, spelled_digits), (lambda t: MARKS.search(t), disguised_addresses)):
+    for applies, step in ((lambda t: not t.isascii(), homoglyphs), (lambda t: True, spelled_digits), (lambda t: MARKS.search(t), disguised)):
         if applies(r.text) and (edits := step(r.text)):
             r.replace(edits)
             changed = True

@@ -6,19 +6,29 @@ the shingle with the earliest arrival. Two signatures agree in a place with the
 similarity of the weighted shingles. All weights are 1 here, however often a shingle occurs, so that this
 is the Jaccard similarity of the sets, by which links are decided.
 First arrivals of all shingles are drawn, then second ones and so on; a shingle stops early, once its
-arrivals are later than what all places hold.
+arrivals are later than what all places hold. Words stand between white space; in scripts that are
+written without it (Han, kana, Thai, Lao, Khmer, Burmese) each character is a word.
 
 1. Documents with the same shingles collapse to one representative; only representatives go on.
 2. Signatures are cut into bands; representatives that share a band meet in a bucket.
-3. Buckets are compared by signature, block against block of bounded size, so their pairs are never
-   rows: rows that allowed pairs of a block pair join, directly or over others, are linked to the least
-   of them. The components of these links are families; whatever agreement doesn't rule out lies within one.
-4. Families are compared with their texts, again block against block: pairs whose sizes and signatures
-   allow it and which aren't linked yet in that block get their exact similarity (Jaccard of the sets
-   of shingles). Only links leave, fewer than a block pair has members.
-
-Classes are the components of all links. Texts shorter than a shingle are one shingle; texts without a
-word stand alone. Null text counts as empty. Repeated rows and ties fall into one class.
+3. Buckets are compared by signature, so that rows that allowed pairs join, directly or over others, are
+   linked to the least of them. The components of these links are families; whatever agreement doesn't
+   rule out lies within one. `screen=False` rules nothing out by agreement.
+4. Families are compared with their texts: pairs whose sizes and signatures allow it and which aren't
+   linked yet get their exact similarity (Jaccard of the sets of shingles).
+
+Buckets and families are compared in blocks of bounded size, so pairs are never rows. A large one is
+first compared within its blocks, each of which also holds a copy of its head (the least row). Rows that
+this joins to the head are joined to one another; only the others are then compared across blocks, with
+all rows. So a group of n rows of which m aren't joined to its head costs about n and m * n, not n * n.
+
+Classes are the components of all links.
+
+- Nulls: null text counts as empty; a null doc_id loses against any other.
+- Empty and short texts: a text shorter than a shingle is one shingle; texts without a word stand alone.
+- Very long texts are read whole; a block holds few of them.
+- Repeated rows and ties fall into one class, whose id is the least doc_id.
+- Empty tables give no row. Of the columns only doc_id and text are read; `survivors` keeps all columns.
 """
 
 from __future__ import annotations
@@ -28,13 +38,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 WORDS, LEAST, PLACES, ROWS = 5, 0.8, 80, 4
+#: Rows and shingles of a block.
+BLOCK, SHINGLES = 4096, 500_000
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,6 +93,12 @@ class Hasher:
         return mixed(out)
 
 
+def spaced(text: str) -> str:
+    """A text in lower case with blanks around the characters of scripts that are written without them."""
+    text = text.lower()
+    return text if text.isascii() else UNSPACED.sub(r" \g<0> ", text)
+
+
 def signatures(owner: np.ndarray, elements: np.ndarray, weights: np.ndarray, n: int, places: int = PLACES) -> np.ndarray:
     """ProbMinHash signatures of n weighted sets at once; (owner, element) pairs are distinct."""
     best = np.full(n * places, np.inf)
@@ -117,7 +137,7 @@ def sketch(docs: DataFrame, words: int, places: int, rows: int) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 b = batch.slice(start, 500)
-                texts = [(t or "").lower() for t in b.column("text").to_pylist()]
+                texts = [spaced(t or "") for t in b.column("text").to_pylist()]
                 sets = [np.unique(hasher.shingles(t, words)) for t in texts]
                 sizes = np.array([len(x) for x in sets])
                 sig = signatures(np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets), np.ones(sizes.sum()), len(sets), places)
@@ -142,26 +162,20 @@ def agreements(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def allowed(size: np.ndarray, sig: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Agreements of rows x with rows y, and whether sizes and agreement allow the least similarity. Agreement over five standard deviations under it rules a pair out."""
-    places = sig.shape[1]
-    bound = (least - 5.5 * (least * (1 - least) / places) ** 0.5) * places
-    agree = agreements(sig[x], sig[y])
+def allowed(size: np.ndarray, sig: np.ndarray, x: np.ndarray, y: np.ndarray, least: float, screen: bool = True) -> np.ndarray:
+    """Whether sizes and agreement allow the least similarity of rows x with rows y. With `screen`, agreement over 5.5 standard deviations under it rules a pair out."""
     one, other = size[x].astype("f8")[:, None], size[y].astype("f8")[None, :]
-    return agree, (agree >= bound) & (least * one <= other + 1e-6) & (least * other <= one + 1e-6)
-
-
-def sides(own: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of the two blocks of a block pair; of one block, twice, if `same`."""
-    x = np.arange(len(own)) if same else np.flatnonzero(own)
-    return x, x if same else np.flatnonzero(~own)
+    open_ = (least * one <= other + 1e-6) & (least * other <= one + 1e-6)
+    if screen:
+        places = sig.shape[1]
+        open_ &= agreements(sig[x], sig[y]) >= (least - 5.5 * (least * (1 - least) / places) ** 0.5) * places
+    return open_
 
 
-def stars(rep: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row with the least row of its label, (a, b) with a < b; rows come by rep."""
+def roots(rep: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """For each row the least row of its label; rows come by rep."""
     _, first, of = np.unique(label, return_index=True, return_inverse=True)
-    leaf = np.flatnonzero(first[of] != np.arange(len(rep)))
-    return rep[first[of[leaf]]], rep[leaf]
+    return rep[first[of]]
 
 
 def joined(open_: np.ndarray, x: np.ndarray, y: np.ndarray, n: int, same: bool) -> np.ndarray:
@@ -183,22 +197,18 @@ def joined(open_: np.ndarray, x: np.ndarray, y: np.ndarray, n: int, same: bool)
     return label
 
 
-def alike(own: np.ndarray, rep: np.ndarray, size: np.ndarray, sig: np.ndarray, same: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what the allowed pairs of a block pair join."""
-    x, y = sides(own, same)
-    _, open_ = allowed(size, sig, x, y, least)
-    return stars(rep, joined(open_, x, y, len(rep), same))
+def alike(size: np.ndarray, sig: np.ndarray, x: np.ndarray, y: np.ndarray, same: bool, least: float, screen: bool = True) -> np.ndarray:
+    """A label for each row, equal for those that allowed pairs of rows x and y join."""
+    return joined(allowed(size, sig, x, y, least, screen), x, y, len(size), same)
 
 
-def spanning_links(own: np.ndarray, rep: np.ndarray, size: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], same: bool, least: float) -> tuple[list[int], list[int]]:
-    """Links (pairs of exact similarity `least` or more) that join whatever links of a block pair join; rows that links already join aren't compared again."""
-    x, y = sides(own, same)
-    _, open_ = allowed(size, sig, x, y, least)
+def proven(size: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, same: bool, least: float, screen: bool = True) -> np.ndarray:
+    """A label for each row, equal for those that pairs of exact similarity `least` or more of rows x and y join; rows that such pairs already join aren't compared again."""
+    open_ = allowed(size, sig, x, y, least, screen)
     vocabulary, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum([len(z) for z in sets])
     ids = np.split(inverse, ends[:-1])
-    group, marked = np.arange(len(rep)), np.zeros(len(vocabulary), bool)
-    a, b = [], []
+    group, marked = np.arange(len(size)), np.zeros(len(vocabulary), bool)
     for k, i in enumerate(x):
         js = y[open_[k]]
         js = js[(group[js] != group[i]) & ((js > i) | (not same))]
@@ -210,9 +220,7 @@ def spanning_links(own: np.ndarray, rep: np.ndarray, size: np.ndarray, sig: np.n
         for j in js[both >= least * (size[i] + size[js] - both) - 1e-9]:
             if group[i] != group[j]:
                 group[group == group[j]] = group[i]
-                a.append(min(rep[i], rep[j]))
-                b.append(max(rep[i], rep[j]))
-    return a, b
+    return group
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], numbers: tuple[str, ...], binaries: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
@@ -239,51 +247,87 @@ def signed(run: dict[str, np.ndarray]) -> np.ndarray:
     return np.frombuffer(b"".join(run["sig"]), "u1").reshape(len(run["sig"]), -1)
 
 
-def links_frame(a, b) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def roots_frame(key: str, out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z), pa.int64()) for z in zip(*out, strict=True)], [key, "rep", "root"])
 
 
-def paired_blocks(members: DataFrame) -> DataFrame:
-    """Members (with their key's number of blocks) once per pair of blocks (i, j) of their key that holds their own."""
-    placed = members.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
-
-
-def bucket_links(members: DataFrame, reps: DataFrame, least: float, block: int = 4096) -> DataFrame:
-    """Links (a, b) that join what allowed pairs within buckets (band, rep) join. A bucket of n is n/block blocks; a row travels once for each of them, and a task holds two blocks at a time."""
-    counts = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    keys, numbers = ("band", "i", "j"), ("own", "rep", "size")
+def within_blocks(rows: DataFrame, key: str, columns: list[str], label) -> DataFrame:
+    """(key, rep, root): each row and the least row that it is joined to among its block and its key's head. The rows have `blocks` and `head`
+    (the number of blocks and the least rep of their key); `label(run, x, y, same)` labels rows that pairs of rows x and y join."""
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    where = F.when(F.col("rep") == F.col("head"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    placed = rows.withColumn("i", F.explode(where)).select(key, "i", "rep", *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for r in runs(batches, keys, numbers, ("sig",)):
-            found.append(alike(r["own"] == r["i"][0], r["rep"], r["size"], signed(r), r["i"][0] == r["j"][0], least))
-            if len(found) >= 1000:
-                yield links_frame(*(np.concatenate(z) for z in zip(*found, strict=True)))
-                found = []
-        if found:
-            yield links_frame(*(np.concatenate(z) for z in zip(*found, strict=True)))
-
-    rows = paired_blocks(members.join(counts, "band")).join(reps.select("rep", "size", "sig"), "rep").select(*keys, *numbers, "sig")
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, "a long, b long").distinct()
-
-
-def family_links(family: DataFrame, reps: DataFrame, words: int, least: float, block: int = 4096, shingles: int = 500_000) -> DataFrame:
-    """The links (a, b) within families (rep, family), enough to join what all of them join. A block has about `block` members or `shingles` shingles at most."""
-    sized = family.join(reps, "rep")
-    counts = sized.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all")).filter("n > 1")
-    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("all") / shingles)).cast("int").alias("blocks")
-    spread = paired_blocks(sized.join(counts.select("family", blocks), "family"))
-    keys, numbers = ("family", "i", "j"), ("own", "rep", "size")
+        out: list[tuple[np.ndarray, ...]] = []
+        for r in runs(batches, (key, "i"), ("rep", "size"), tuple(c for c in columns if c != "size")):
+            every = np.arange(len(r["rep"]))
+            out.append((r[key], r["rep"], roots(r["rep"], label(r, every, every, True))))
+            if len(out) >= 1000:
+                yield roots_frame(key, out)
+                out = []
+        if out:
+            yield roots_frame(key, out)
+
+    return placed.repartition(key, "i").sortWithinPartitions(key, "i", "rep").mapInArrow(run, f"{key} long, rep long, root long")
+
+
+def across_blocks(rows: DataFrame, key: str, columns: list[str], label) -> DataFrame:
+    """(key, rep, root): as within_blocks, by pairs of the rows that are `far` with all rows of their key. Far rows lie in `far_blocks` blocks i, all rows in
+    `blocks` blocks j; a block pair holds the far rows of i and all rows of j."""
+    i = F.pmod(F.xxhash64("rep"), F.col("far_blocks")).cast("int")
+    j = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    left = rows.filter("far").withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
+    right = rows.withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("far_blocks") - 1))).withColumn("side", F.lit(1))
+    placed = left.unionByName(right).select(key, "i", "j", "side", "rep", *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, unpack = Hasher(), zstandard.ZstdDecompressor().decompress
-        for r in runs(batches, keys, numbers, ("sig", "packed")):
-            sets = [np.unique(hasher.shingles(unpack(p).decode(), words)) for p in r["packed"]]
-            yield links_frame(*spanning_links(r["own"] == r["i"][0], r["rep"], r["size"], signed(r), sets, r["i"][0] == r["j"][0], least))
+        for r in runs(batches, (key, "i", "j"), ("side", "rep", "size"), tuple(c for c in columns if c != "size")):
+            got = label(r, np.flatnonzero(r["side"] == 0), np.flatnonzero(r["side"] == 1), False)
+            yield roots_frame(key, [(r[key], r["rep"], roots(r["rep"], got))])
+
+    return placed.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "rep").mapInArrow(run, f"{key} long, rep long, root long")
+
+
+def group_links(rows: DataFrame, counts: DataFrame, key: str, columns: list[str], label, block: int) -> DataFrame:
+    """Links (a, b) that join what pairs within keys join, from rows (key, rep, size, ...) and counts (key, n, head, blocks)."""
+    counts = counts.filter("n > 1").select(key, "head", F.col("blocks").cast("int").alias("blocks"))
+    near = cut(within_blocks(rows.join(counts, key), key, columns, label))
+    links = near.filter("root <> rep").select(F.col("root").alias("a"), F.col("rep").alias("b"))
+    large = cut(counts.filter("blocks > 1"))
+    far = cut(near.join(large, key).filter("root <> head").select(key, "rep").distinct())
+    if far.isEmpty():
+        return links
+    sizes = far.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("far_blocks"))
+    marked = rows.join(large.join(sizes, key), key).join(far.withColumn("far", F.lit(True)), [key, "rep"], "left").withColumn("far", F.coalesce("far", F.lit(False)))
+    more = across_blocks(marked, key, columns, label).filter("root <> rep")
+    return links.union(more.select(F.col("root").alias("a"), F.col("rep").alias("b")))
+
+
+def bucket_links(members: DataFrame, reps: DataFrame, least: float, block: int = BLOCK, screen: bool = True) -> DataFrame:
+    """Links (a, b) that join what allowed pairs within buckets (band, rep) join."""
+
+    def label(r: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, same: bool) -> np.ndarray:
+        return alike(r["size"], signed(r), x, y, same, least, screen)
+
+    counts = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("head")).withColumn("blocks", F.ceil(F.col("n") / block))
+    return group_links(members.join(reps.select("rep", "size", "sig"), "rep"), counts, "band", ["size", "sig"], label, block).distinct()
+
+
+def family_links(family: DataFrame, reps: DataFrame, words: int, least: float, block: int = BLOCK, shingles: int = SHINGLES, screen: bool = True) -> DataFrame:
+    """Links (a, b) that join what links within families (rep, family) join. A block has about `block` members or `shingles` shingles at most."""
+    worker: dict = {}
+
+    def label(r: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, same: bool) -> np.ndarray:
+        if not worker:
+            worker["hasher"], worker["unpack"] = Hasher(), zstandard.ZstdDecompressor().decompress
+        sets = [np.unique(worker["hasher"].shingles(worker["unpack"](p).decode(), words)) for p in r["packed"]]
+        return proven(r["size"], signed(r), sets, x, y, same, least, screen)
 
-    rows = spread.select(*keys, *numbers, "sig", "packed")
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, "a long, b long")
+    rows = family.join(reps, "rep")
+    counts = family.join(reps.select("rep", "size"), "rep").groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("head"), F.sum("size").alias("all"))
+    counts = counts.withColumn("blocks", F.ceil(F.greatest(F.col("n") / block, F.col("all") / shingles)))
+    return group_links(rows, counts, "family", ["size", "sig", "packed"], label, block)
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -294,19 +338,20 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         up = cut(edges.groupBy("b").agg(F.min("a").alias("a")))
         named = up.select(F.col("b").alias("a"), F.col("a").alias("further"))
-        names = cut(up.join(named, "a", "left").select(F.col("b").alias("node"), F.coalesce("further", "a").alias("name")))
-        labels = cut(labels.join(names, F.col("component") == F.col("node"), "left").select("rep", F.coalesce("name", "component").alias("component")))
+        names = cut(up.join(named, "a", "left").select(F.col("b").alias("node"), F.coalesce("further", "a").alias("name")), up)
+        labels = cut(labels.join(names, F.col("component") == F.col("node"), "left").select("rep", F.coalesce("name", "component").alias("component")), labels)
         upper = edges.join(names.select(F.col("node").alias("b"), F.col("name").alias("p")), "b")
         both = upper.join(names.select(F.col("node").alias("a"), F.col("name").alias("q")), "a", "left").withColumn("q", F.coalesce("q", "a"))
-        edges = cut(both.select(F.greatest("p", "q").alias("b"), F.least("p", "q").alias("a")).filter("a <> b").distinct())
+        edges = cut(both.select(F.greatest("p", "q").alias("b"), F.least("p", "q").alias("a")).filter("a <> b").distinct(), edges, names)
+    release(edges)
     return labels
 
 
-def classes(docs: DataFrame, words: int = WORDS, least: float = LEAST, places: int = PLACES, rows: int = ROWS) -> DataFrame:
+def classes(docs: DataFrame, words: int = WORDS, least: float = LEAST, places: int = PLACES, rows: int = ROWS, screen: bool = True, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class), class_size, kept (whether it is the row of its class
     that stays)."""
     sketched = cut(sketch(docs.select("doc_id", "text"), words, places, rows).withColumn("number", F.monotonically_increasing_id()))
-    return of_sketches(sketched, words, least).drop("number")
+    return of_sketches(sketched, words, least, screen, block).drop("number")
 
 
 def survivors(docs: DataFrame, words: int = WORDS, least: float = LEAST, places: int = PLACES, rows: int = ROWS) -> DataFrame:
@@ -318,7 +363,7 @@ def survivors(docs: DataFrame, words: int = WORDS, least: float = LEAST, places:
     return numbered.join(kept, "number", "left_semi").select("row.*")
 
 
-def of_sketches(sketched: DataFrame, words: int, least: float) -> DataFrame:
+def of_sketches(sketched: DataFrame, words: int, least: float, screen: bool = True, block: int = BLOCK) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "number")
     named = sketched.filter("digest is not null")
     firsts = named.groupBy("digest").agg(F.min(order).alias("first")).select("digest", F.col("first.number").alias("rep"))
@@ -329,8 +374,9 @@ def of_sketches(sketched: DataFrame, words: int, least: float) -> DataFrame:
     members = cut(banded.join(shared, "band"))  # buckets of two or more
     met = cut(members.select("rep").distinct())
     reps = cut(reps.select("rep", "size", "sig", "packed").join(met, "rep", "left_semi"))
-    family = components(met, bucket_links(members, reps, least)).withColumnRenamed("component", "family")
-    component = components(met, family_links(family, reps, words, least))
+    families = components(met, bucket_links(members, reps, least, block, screen))
+    component = components(met, family_links(families.withColumnRenamed("component", "family"), reps, words, least, block, screen=screen))
+    release(members, reps, families)
     return finished(sketched, firsts, component)
 
 

@@ -1,35 +1,56 @@
 """Sharding by fixed virtual slots, with DataFrame functions only.
 
-Every record is hashed into one of some thousands of virtual slots, whose number never changes. Bytes
-and rows are aggregated per slot, and slots, not records, are dealt to shards: the largest first, each
-to the shard with the fewest bytes. The slot-to-shard map is a small versioned table; to rebalance for
-more shards a new version is made from the last by moving slots, fewest first, to the new shards only.
-
-The law is `bytes`: shard sizes are near equal. Equal texts share a slot, unless their group is so
-large (over 1/16 of a shard's fair share in bytes or rows) that its rows are spread over the slots by
-doc_id; such groups are few, so their list is bounded. A size is the text's UTF-8 bytes plus 1 (null
-text: none plus 1). Repeated rows are records of their own.
+Every record is hashed into one of some thousands of virtual slots, whose number never changes. Bytes are
+aggregated per slot, and slots, not records, are dealt to shards: the largest first, each to the shard
+with the fewest bytes. The slot-to-shard map is a small table with versions, stored in a folder: a run
+reads the last version and routes records by it. It is edited, and a new version stored, only where a
+rebalance needs it: for more shards slots move to the new ones only; where sizes have drifted slots move
+from the heaviest shards to the lightest until these are near equal again.
+
+The law is `bytes`: shard sizes are near equal. Equal texts form a group and share a slot, so they stay
+together. A group is spread over the slots by doc_id only where sizes can't be near equal otherwise: the
+map is tried with groups of over 1, 1/2, 1/4 ... 1/32 of a shard's fair part spread, and the first that
+comes within 1 % is taken (the best one, if none does). Such groups are few, so their list is bounded.
+
+- A size is the text's UTF-8 bytes plus 1; a null text has none plus 1 and belongs with the empty texts.
+- Null ids: rows of a spread group without doc_id are spread by their place in the input.
+- Repeated rows are records of their own. Ties in the order within a shard are broken by that place.
+- Very long texts aren't read but for their length and hashes; one of over a fair part fills a shard.
+- Empty tables give no row. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelake.scratch import checkpoint_folder
+
 from .common import cut
 
 SLOTS = 4096
-#: A group is spread if it holds over this share of a shard's fair part.
-SPREAD = 1 / 16
+#: Parts of a slot that are numbered apart.
+PARTS = 16
+#: Groups of over this share of a shard's fair part are spread; the first share that comes within TOLERANCE is taken.
+SHARES, TOLERANCE = (1, 1 / 2, 1 / 4, 1 / 8, 1 / 16, 1 / 32), 0.01
 
 
 def slot_of(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % SLOTS
 
 
-def assign(sizes: list[int], shards: int) -> list[int]:
+def loads_of(sizes: list[float], version: list[int], shards: int) -> list[float]:
+    out = [0.0] * shards
+    for size, shard in zip(sizes, version, strict=True):
+        out[shard] += size
+    return out
+
+
+def assign(sizes: list[float], shards: int) -> list[int]:
     """The first version of the map: the largest slot first, each to the lightest shard, the lowest number on ties."""
     heap, out = [(0, s) for s in range(shards)], [0] * len(sizes)
     for slot in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
@@ -39,7 +60,7 @@ def assign(sizes: list[int], shards: int) -> list[int]:
     return out
 
 
-def grow(sizes: list[int], version: list[int], shards: int) -> list[int]:
+def grow(sizes: list[float], version: list[int], shards: int) -> list[int]:
     """The next version of the map, for more shards: slots move only to new shards, from the heaviest one, the largest that doesn't overfill."""
     old, out = max(version, default=-1) + 1, list(version)
     loads = [0] * max(shards, old)
@@ -60,18 +81,85 @@ def grow(sizes: list[int], version: list[int], shards: int) -> list[int]:
     return out
 
 
+def rebalance(sizes: list[float], version: list[int], shards: int) -> list[int]:
+    """The next version at the same number of shards: while the heaviest is over the tolerance, its largest slot that fits goes to the lightest."""
+    out, fair = list(version), sum(sizes) / max(shards, 1)
+    loads = loads_of(sizes, out, shards)
+    while True:
+        heavy, light = max(range(shards), key=lambda s: (loads[s], -s)), min(range(shards), key=lambda s: (loads[s], s))
+        if loads[heavy] <= fair * (1 + TOLERANCE):
+            return out
+        fits = [i for i in range(len(sizes)) if out[i] == heavy and 0 < sizes[i] <= min(loads[heavy] - fair, fair - loads[light])]
+        if not fits:
+            return out
+        slot = max(fits, key=lambda i: (sizes[i], -i))
+        out[slot], loads[heavy], loads[light] = light, loads[heavy] - sizes[slot], loads[light] + sizes[slot]
+
+
+def last_version(spark: SparkSession, folder: str) -> tuple[int, list[int]] | None:
+    """The number and the map of the last version stored in a folder, if there is one."""
+    try:
+        stored = spark.read.parquet(folder)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+    last = stored.filter(F.col("version") == stored.agg(F.max("version")).first()[0]).orderBy("virtual_slot").collect()  # a row per slot
+    return int(last[0]["version"]), [r["shard"] for r in last]
+
+
+def store(spark: SparkSession, folder: str, version: int, slots: list[int]) -> None:
+    """Stores a version of the map; one that is there already is never overwritten."""
+    rows = spark.createDataFrame(list(enumerate(slots)), "virtual_slot long, shard int")
+    rows.coalesce(1).write.parquet(f"{folder.rstrip('/')}/version={version}")
+
+
+def current_map(spark: SparkSession, folder: str, sizes: list[float], shards: int) -> list[int]:
+    """The map for these sizes: the last version as it is, or edited and stored as the next one if it has fewer shards or sizes have drifted."""
+    last = last_version(spark, folder)
+    if last is None:
+        number, slots = 0, None
+        edited = assign(sizes, shards)
+    else:
+        number, slots = last
+        if max(slots) >= shards:
+            raise ValueError(f"the stored map has {max(slots) + 1} shards; slots are never taken from a shard to remove it")
+        edited = grow(sizes, slots, shards) if max(slots) + 1 < shards else rebalance(sizes, slots, shards)
+    if edited != slots:
+        store(spark, folder, number + 1, edited)
+    return edited
+
+
 def records(docs: DataFrame, shards: int) -> DataFrame:
-    """A written table of doc_id, size, text_crc32 and virtual slot."""
+    """doc_id, size, text_crc32, virtual slot and row (a number in the input)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("group"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("group"), F.monotonically_increasing_id().alias("row"))
     base = cut(base)
-    total = base.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
-    hot = base.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    limit = SPREAD / shards
-    large = (F.col("n") > total["n"] * limit) | (F.col("size") > total["size"] * limit)
-    hot = [r["group"] for r in hot.filter((F.col("n") > 1) & large).collect()]  # at most 2 * 16 * shards
-    key = F.when(F.col("group").isin(hot), F.concat_ws(":", "group", F.col("doc_id").cast("string"))).otherwise(F.col("group")) if hot else F.col("group")
-    return base.select("doc_id", "size", "text_crc32", slot_of(key).alias("virtual_slot"))
+    key = F.col("group")
+    if spread := to_spread(base, shards):
+        key = F.when(key.isin(spread), F.concat_ws(":", key, F.coalesce(F.col("doc_id"), F.col("row")).cast("string"))).otherwise(key)
+    return base.select("doc_id", "size", "text_crc32", "row", slot_of(key).alias("virtual_slot"))
+
+
+def to_spread(base: DataFrame, shards: int) -> list[str]:
+    """The groups that have to be spread for near equal sizes."""
+    slots = slot_sizes(base.select("size", slot_of(F.col("group")).alias("virtual_slot")))
+    total = sum(slots)
+    least = int(total * SHARES[-1] / shards)
+    groups = base.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).filter((F.col("n") > 1) & (F.col("size") > least))
+    large = [(r["group"], r["slot"], r["size"]) for r in groups.withColumn("slot", slot_of(F.col("group"))).collect()]  # at most 32 groups for each shard
+    best: tuple[float, list[str]] = (float("inf"), [])
+    for share in SHARES:
+        spread = [x for x in large if x[2] > share * total / shards]
+        sizes = [s + sum(size for *_, size in spread) / SLOTS for s in slots]
+        for _, slot, size in spread:
+            sizes[slot] -= size
+        most = max(loads_of(sizes, assign(sizes, shards), shards))
+        if most < best[0]:
+            best = (most, [group for group, *_ in spread])
+        if most <= (1 + TOLERANCE) * total / shards:
+            break
+    return best[1]
 
 
 def slot_sizes(rows: DataFrame) -> list[int]:
@@ -80,22 +168,20 @@ def slot_sizes(rows: DataFrame) -> list[int]:
     return [got.get(i, 0) for i in range(SLOTS)]
 
 
-def slot_map(spark, versions: list[list[int]]) -> DataFrame:
-    """The versioned map as a table: version, virtual_slot, shard."""
-    return spark.createDataFrame([(v, slot, shard) for v, m in enumerate(versions, 1) for slot, shard in enumerate(m)], "version int, virtual_slot long, shard int")
-
-
-def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """One row per document: its shard, and its place in the shard (`slot`, gapless from 0). Also its virtual slot and its shard in the map's next version."""
+def shard(docs: DataFrame, shards: int = 8, folder: str | None = None) -> DataFrame:
+    """One row per document: its shard, and its place in the shard (`slot`, gapless from 0). Also its virtual slot and the shard that it would have if one
+    more were added. The map is read from and stored in `folder`; by default one of the run's own under the checkpoint folder."""
+    spark = docs.sparkSession
+    folder = folder or f"{checkpoint_folder(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex}"
     rows = records(docs, shards)
     sizes = slot_sizes(rows)
-    first = assign(sizes, shards)
-    maps = slot_map(docs.sparkSession, [first, grow(sizes, first, shards + 1)])
-    both = maps.groupBy("virtual_slot").pivot("version", [1, 2]).agg(F.first("shard")).select("virtual_slot", F.col("1").alias("shard"), F.col("2").alias("next_shard"))
-    counts = rows.groupBy("virtual_slot").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(both), "virtual_slot")  # one row per slot
-    in_shard = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("virtual_slot", "shard", "next_shard", F.coalesce(F.sum("n").over(in_shard), F.lit(0)).alias("before"))
-    ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32")) - 1)
-    return ranked.join(F.broadcast(before), "virtual_slot").select(
+    current = current_map(spark, folder, sizes, shards)
+    both = spark.createDataFrame([(slot, a, b) for slot, (a, b) in enumerate(zip(current, grow(sizes, current, shards + 1), strict=True))], "virtual_slot long, shard int, next_shard int")
+    placed = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)))
+    counts = placed.groupBy("virtual_slot", "part").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(both), "virtual_slot")  # one row per slot
+    in_shard = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("virtual_slot", "part", "shard", "next_shard", F.coalesce(F.sum("n").over(in_shard), F.lit(0)).alias("before"))
+    ranked = placed.withColumn("at", F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "row")) - 1)
+    return ranked.join(F.broadcast(before), ["virtual_slot", "part"]).select(  # PARTS rows per slot
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "next_shard"
     )
