@@ -123,7 +123,7 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
     totals = np.zeros((longest + 1, len(langs)))
     np.add.at(totals, (k, lang), n)
     tables: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    at = np.array([tables[kind > 0].setdefault(unit, len(tables[0]) + len(tables[1])) for kind, unit in zip(k, kept["unit"], strict=True)], int)
+    at = np.array([tables[int(kind > 0)].setdefault(unit, len(tables[0]) + len(tables[1])) for kind, unit in zip(k, kept["unit"], strict=True)], int)
     logs = np.zeros((len(tables[0]) + len(tables[1]), len(langs)))
     logs[at] = np.log(0.5 / (totals + 1))[k]  # a unit that a language of the sample doesn't have
     logs[at, lang] = np.log(n / totals[k, lang])
