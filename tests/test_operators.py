@@ -23,6 +23,8 @@ def test_identifiers(spark):
     assert one(spark, "1234", S.normalize_account) is None
     assert one(spark, "₹1.5 lakh", S.parse_amount) == 150000.0
     assert one(spark, "Mr. A. Kumar", S.normalize_name) == "a kumar"
+    assert one(spark, " Smt: Devi's  O'Neil-Rao s/o X", S.normalize_name) == "devi oneil rao x"
+    assert one(spark, None, S.normalize_name) == one(spark, None, S.mask_account) == ""
 
 
 def test_similarity_and_distance(spark):
@@ -67,7 +69,7 @@ def test_burner_phones_read_all_calls(spark, tmp_path):
     events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts string, k int")
     events = events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"), F.format_string('{"k": %d}', "k").alias("props"), F.lit(1.0).alias("value"))
     events.write.parquet(str(tmp_path / "events.parquet"))
-    assert sorted((r.phone, r.counterparties, r.calls) for r in catalog.QUERIES["burner_phones_all"](spark, str(tmp_path)).collect()) == [(1, 2, 2), (8, 2, 2)]
+    assert sorted((r.phone, r.counterparties, r.calls) for r in catalog.QUERIES["burner_phones"](spark, str(tmp_path)).collect()) == [(1, 2, 2), (8, 2, 2)]
 
 
 def test_components_and_shared_pairs_read_all_rows(spark, tmp_path):
@@ -75,9 +77,9 @@ def test_components_and_shared_pairs_read_all_rows(spark, tmp_path):
     lines = [(i, 1, 1, 1.0, 0.0) for i in range(1, 14)] + [(1, 2, 1, 50.0, 0.1), (2, 2, 2, 1.0, 0.0), (3, 3, 3, 1.0, 0.0)]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
     spark.createDataFrame([(i, 100 + i) for i in range(1, 14)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
-    got = {r.node: r.component for r in catalog.QUERIES["components_all"](spark, str(tmp_path)).collect()}
+    got = {r.node: r.component for r in catalog.QUERIES["components"](spark, str(tmp_path)).collect()}
     assert got == {"A1": "A1", "A2": "A1", "B1": "A1", "B2": "A1", "A3": "A3", "B3": "A3"}
-    assert [tuple(r) for r in catalog.QUERIES["shared_pairs_all"](spark, str(tmp_path)).collect()] == [(101, 102, 1)]
+    assert [tuple(r) for r in catalog.QUERIES["shared_pairs"](spark, str(tmp_path)).collect()] == [(101, 102, 1)]
 
 
 def test_temporal_paths_of_four_hops(spark):
