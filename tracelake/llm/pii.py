@@ -57,7 +57,9 @@ DOT = r"\x20*[\[({<]\x20*(?:dot|\.)\x20*[\])}>]\x20*|\x20+dot\x20+|\."
 TOKEN = re.compile(rf"(?i)(?P<at>{AT})|(?P<dot>{DOT})|(?P<part>[A-Za-z0-9_%+-]+)")
 MARKS = re.compile(r"(?i)[\[({<]\x20*(?:at|dot|\.)\x20*[\])}>]|\x20dot\x20|\x20@|@\x20")
 OTHER_DIGITS = "".join(chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd")
-ODD = re.compile("[" + "".join(LOOKALIKES) + "".join(INVISIBLE) + OTHER_DIGITS + "\uff01-\uff5e\U0001d400-\U0001d7ff]")
+ODD = frozenset(LOOKALIKES) | INVISIBLE | frozenset(OTHER_DIGITS) | {chr(c) for r in (range(0xFF01, 0xFF5F), range(0x1D400, 0x1D800)) for c in r}
+#: All characters that may be odd: of Latin-1 the soft hyphen alone is.
+FOREIGN = re.compile("[^\x00-\xac\xae-\xff]")
 
 
 def luhn(digits: str) -> bool:
@@ -127,7 +129,7 @@ def homoglyphs(text: str) -> list[tuple[int, int, str]]:
         digit = unicodedata.decimal(c, None)
         return LOOKALIKES.get(c) or (unicodedata.normalize("NFKC", c) if digit is None else str(digit))
 
-    return [(m.start(), m.end(), plain_form(m.group())) for m in ODD.finditer(text)]
+    return [(m.start(), m.end(), plain_form(m.group())) for m in FOREIGN.finditer(text) if m.group() in ODD]
 
 
 def spelled_digits(text: str, least: int = 7) -> list[tuple[int, int, str]]:
