@@ -25,10 +25,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,27 +49,14 @@ class Settings:
 
 @dataclass
 class Model:
+    """Units as Arrow arrays, which travel and lie in a fraction of the memory of a dict; workers index them."""
+
     langs: list[str]
-    words: dict[str, int] = field(default_factory=dict)  # rows of `logs`
-    grams: dict[str, int] = field(default_factory=dict)
-    logs: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))  # log frequency by unit and language
+    words: pa.Array
+    grams: pa.Array
+    logs: np.ndarray  # log frequency by unit (words, then n-grams) and language
     settings: Settings = Settings()
 
-    def unseen(self, word: str) -> tuple[np.ndarray, int]:
-        """Sum of the n-grams that cover a word, and how many."""
-        text, i, n = f"^{word}$", 0, 0
-        total = np.zeros(len(self.langs))
-        while i < len(text):
-            for k in range(min(self.settings.longest, len(text) - i), 0, -1):
-                if (got := self.grams.get(text[i : i + k])) is not None:
-                    total += self.logs[got]
-                    n += 1
-                    break
-            else:
-                k = 1
-            i += k
-        return total, n
-
 
 def crossing(sizes: DataFrame, part: str, room: Column) -> DataFrame:
     """Per language the part in which the running number of rows reaches `room` (none if it never does): lang, part, room left in it."""
@@ -117,17 +105,19 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "k", "unit", "n"])
 
     counts = sampled(rows, settings).mapInArrow(count, "lang string, k int, unit string, n long").groupBy("lang", "k", "unit").agg(F.sum("n").alias("n"))
-    kept = counts.toPandas()  # bounded by the sample
-    langs = sorted(kept["lang"].unique())
-    k, lang, n = kept["k"].to_numpy(), np.searchsorted(langs, kept["lang"]) if len(kept) else np.empty(0, int), kept["n"].to_numpy()
+    kept = counts.toArrow().combine_chunks()  # bounded by the sample
+    langs = sorted(pc.unique(kept["lang"]).to_pylist())
+    k, n = kept["k"].to_numpy(), kept["n"].to_numpy()
+    lang = pc.index_in(kept["lang"], pa.array(langs, pa.string())).to_numpy()
+    words, grams = (pc.unique(kept["unit"].filter(pa.array(of))) for of in (k == 0, k > 0))
+    place = [pc.fill_null(pc.index_in(kept["unit"], units), 0).to_numpy() for units in (words, grams)]
+    at = np.where(k == 0, place[0], len(words) + place[1])
     totals = np.zeros((longest + 1, len(langs)))
     np.add.at(totals, (k, lang), n)
-    tables: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    at = np.array([tables[int(kind > 0)].setdefault(unit, len(tables[0]) + len(tables[1])) for kind, unit in zip(k, kept["unit"], strict=True)], int)
-    logs = np.zeros((len(tables[0]) + len(tables[1]), len(langs)))
+    logs = np.zeros((len(words) + len(grams), len(langs)))
     logs[at] = np.log(0.5 / (totals + 1))[k]  # a unit that a language of the sample doesn't have
     logs[at, lang] = np.log(n / totals[k, lang])
-    return Model(langs, *tables, logs, settings)
+    return Model(langs, words, grams, logs, settings)
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -140,14 +130,31 @@ class Scorer:
     def __init__(self, model: Model, cached: int = 300_000):
         self.model, self.cached = model, cached
         k = len(model.langs)
+        self.words = {w: i for i, w in enumerate(model.words.to_pylist())}
+        self.grams = {g: i for i, g in enumerate(model.grams.to_pylist(), len(self.words))}
         self.rows = np.zeros((cached + 1, k + 1))
         self.at: dict[str, int] = {}
 
+    def unseen(self, word: str) -> tuple[np.ndarray, int]:
+        """Sum of the n-grams that cover a word, and how many."""
+        text, i, n = f"^{word}$", 0, 0
+        total = np.zeros(len(self.model.langs))
+        while i < len(text):
+            for k in range(min(self.model.settings.longest, len(text) - i), 0, -1):
+                if (got := self.grams.get(text[i : i + k])) is not None:
+                    total += self.model.logs[got]
+                    n += 1
+                    break
+            else:
+                k = 1
+            i += k
+        return total, n
+
     def number(self, word: str) -> int:
         if len(self.at) >= self.cached:
             self.at.clear()
-        known = self.model.words.get(word)
-        total, n = (self.model.logs[known], 1) if known is not None else self.model.unseen(word)
+        known = self.words.get(word)
+        total, n = (self.model.logs[known], 1) if known is not None else self.unseen(word)
         i = self.at[word] = len(self.at)
         self.rows[i, :-1], self.rows[i, -1] = total, n
         return i
