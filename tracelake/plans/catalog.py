@@ -11,6 +11,7 @@ from tracelake.functions import scalar as S
 from tracelake.operators import evidence as E
 from tracelake.operators import graph as G
 from tracelake.operators import patterns as P
+from tracelake.operators import review as R
 from tracelake.operators import search as V
 from tracelake.sources import calls, persons, table, transfers
 
@@ -387,3 +388,67 @@ def influencers(spark, d):
     """The ten persons of the greatest degree weighted by transfers, with their rank."""
     g = transfers(spark, d).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("weighted"), F.countDistinct("dst").alias("degree"))
     return g.orderBy(F.desc("weighted"), "node").limit(10).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("weighted"), "node")).cast("long"))  # ten rows
+
+
+CONFLICTS = """conflicts AS (SELECT src AS subject, dst AS dimension, micros - micros % 3600000000 AS bucket, count(DISTINCT event_type) AS n_values, count(DISTINCT evidence) AS documents, min(event_type) AS least, max(event_type) AS greatest
+    FROM calls GROUP BY ALL HAVING count(DISTINCT event_type) > 1 AND count(DISTINCT evidence) > 1)"""
+
+
+def _claims(spark, d):
+    return calls(spark, d).select(F.col("src").alias("subject"), F.col("dst").alias("dimension"), "micros", F.col("event_type").alias("value"), F.col("evidence").alias("document"))
+
+
+@query(f"""WITH {CALLS}, {CONFLICTS} SELECT * FROM conflicts""")
+def contradictions(spark, d):
+    return R.contradictions(_claims(spark, d))
+
+
+@query(f"""WITH {CALLS}, {CONFLICTS}, r AS (SELECT src AS subject, dst AS dimension, event_type AS kind, micros, row_number() OVER (PARTITION BY src, dst, micros // 86400000000 ORDER BY micros, event_type) AS k FROM calls),
+    g AS (SELECT subject, dimension, count(*) AS support, count(DISTINCT kind) AS kinds, min(micros) AS first, max(micros) AS last FROM r WHERE k = 1 GROUP BY ALL)
+    SELECT g.*, CASE WHEN (subject, dimension) IN (SELECT (subject, dimension) FROM conflicts) THEN 'CONFLICTED' WHEN support >= 2 AND kinds >= 2 THEN 'MULTI_TYPE_CORROBORATED' WHEN support >= 2 THEN 'MULTI_SOURCE_SUPPORTED'
+    ELSE 'SINGLE_SOURCE' END AS status FROM g""")
+def corroboration(spark, d):
+    """A day's log is a document, an event's type the kind of evidence."""
+    day = F.expr("micros div 86400000000").alias("document")
+    claims = _claims(spark, d).select("subject", "dimension", "micros", F.col("value").alias("kind"), day)
+    return R.corroboration(claims, R.contradictions(_claims(spark, d)))
+
+
+@query(f"""WITH {CALLS}, g AS (SELECT src, dst, count(DISTINCT event_type) AS kinds, count(DISTINCT evidence) AS docs FROM calls GROUP BY ALL)
+    SELECT *, CASE WHEN kinds >= 3 AND docs >= 2 THEN 'INDEPENDENT_SOURCE_CONVERGENCE' WHEN kinds >= 2 AND docs >= 2 THEN 'MULTI_SOURCE' WHEN docs >= 2 THEN 'MULTI_RECORD' ELSE 'SINGLE_SOURCE' END AS class FROM g""")
+def evidence_convergence(spark, d):
+    g = calls(spark, d).groupBy("src", "dst").agg(F.countDistinct("event_type").alias("kinds"), F.countDistinct("evidence").alias("docs"))
+    return g.withColumn("class", R.convergence(F.col("kinds"), F.col("docs")))
+
+
+@query(f"""WITH {CALLS}, e AS (SELECT src, dst, least(1.0, count(*) / 10.0) AS weight FROM calls GROUP BY src, dst), b AS (SELECT src AS node, dst AS other, weight, 0 AS way FROM e UNION ALL SELECT dst, src, weight, 1 FROM e),
+    r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, other, way) AS rank FROM b) SELECT node, rank, other, CAST(round(weight, 3) AS DOUBLE) AS weight FROM r WHERE rank <= 5""")
+def top_neighbours(spark, d):
+    e = calls(spark, d).groupBy("src", "dst").agg(F.least(F.lit(1.0), F.count(F.lit(1)) / 10).alias("weight"))
+    return R.top_neighbours(e, 5)
+
+
+@query(f"""WITH {CALLS}, i AS (SELECT event_type = 'signup' AS pending, (1704499200000000 - micros) / 3600000000.0 AS age FROM calls)
+    SELECT count(*) FILTER (pending) AS pending, count(*) FILTER (pending AND age > 48) AS breached, round(coalesce(max(age) FILTER (pending), 0.0), 4) AS oldest_hours FROM i""")
+def queue_summary(spark, d):
+    return R.queue_summary(calls(spark, d), F.col("event_type") == "signup", (F.lit(1704499200000000) - F.col("micros")) / 3_600_000_000)
+
+
+@query(f"""WITH {CALLS}, n AS (SELECT count(*) AS total, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type = 'purchase') AS exports, count(*) FILTER (duration > 400) AS denials FROM calls
+    WHERE micros >= 1704067200000000 AND micros < 1704672000000000) SELECT *, failures >= 10 AS alert_failures, exports >= 20 AS alert_exports, denials >= 5 AS alert_denials FROM n""")
+def log_alerts(spark, d):
+    week = calls(spark, d).filter("micros >= 1704067200000000 and micros < 1704672000000000")
+    return R.log_alerts(week, F.col("event_type") == "error", F.col("event_type") == "purchase", F.col("duration") > 400)
+
+
+@query(f"""WITH {TX}, l AS (SELECT DISTINCT dst AS entity, n_regionkey AS case_id FROM tx JOIN customer ON src = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+    SELECT entity, count(*) AS cases, string_agg(CAST(case_id AS VARCHAR), ',' ORDER BY case_id) AS case_ids FROM l GROUP BY entity HAVING count(*) >= 2""")
+def cross_case_entities(spark, d):
+    return R.cross_case_entities(_case_links(spark, d))
+
+
+@query("""SELECT doc_id, length(text) AS chars FROM documents WHERE contains(lower(text), 'the') ORDER BY doc_id LIMIT 20 OFFSET 10""")
+def search_page(spark, d):
+    """The second page of documents that hold a word, whatever its case."""
+    found = table(spark, d, "documents").filter(F.lower("text").contains("the")).select("doc_id", F.length("text").cast("long").alias("chars"))
+    return R.page(found, ["doc_id"], 10, 20)

@@ -49,3 +49,12 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFram
         names.append(f"{x}_{seen[x]}" if seen[x] else x)
     df = spark.read.csv(path, sep=sep, header=True, schema=", ".join(f"`c{i}` string" for i in range(len(names))), enforceSchema=True, multiLine=True, mode="PERMISSIVE")
     return df.select(*(F.trim(F.coalesce(F.col(f"c{i}"), F.lit(""))).alias(x) for i, x in enumerate(names)))
+
+
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a file with one JSON object a line, all top-level cells as strings (nested ones as JSON, null as empty); lines that
+    aren't an object are skipped. The keys of all lines make the columns, by name; lines are split over tasks."""
+    raw = spark.read.text(path).select(F.try_parse_json(F.trim("value")).alias("v"))
+    cells = raw.select(F.from_json(F.to_json("v"), "map<string,string>").alias("m")).filter(F.schema_of_variant("v").startswith("OBJECT"))
+    names = sorted(r["k"] for r in cells.select(F.explode(F.map_keys("m")).alias("k")).distinct().collect())  # a table's columns
+    return cells.select(*(F.coalesce(F.col("m")[k], F.lit("")).alias(k) for k in names))
