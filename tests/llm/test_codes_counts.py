@@ -113,16 +113,27 @@ def test_token_counts(spark, path):
 
 
 def test_token_counts_in_small_blocks(spark, monkeypatch):
-    """Blocks of a few documents and windows of a few characters give the same counts; no pre-token is split twice."""
+    """Blocks of a few documents give the same counts; a chunk is split as it is within its text."""
     texts = [f"the {i % 7} cats{i % 3} and <|endoftext|> dogs" for i in range(200)] + ["", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = sorted(map(tuple, token_counts.counts(df, WORD_BPE).collect()))
-    splitter = token_counts.Splitter(WORD_BPE)
-    monkeypatch.setattr(token_counts, "WINDOW", 9)
-    assert all(splitter.count(t or "") == (Counter(w), n) for t in texts for w, n in [splitter.split(t or "")])
     monkeypatch.setattr(token_counts, "BLOCK_ROWS", 3)
     assert sorted(map(tuple, token_counts.counts(df, WORD_BPE).collect())) == want
     assert token_counts.counts(df.limit(0), WORD_BPE).collect() == []
+    assert token_counts.counts(df.filter("text is null"), WORD_BPE).collect()[0].n_tokens == 0
+
+
+def test_frequencies_of_chunks_are_those_of_texts():
+    splitter, r = token_counts.Splitter(WORD_BPE), random.Random(3)
+    texts = ["".join(r.choice("aAb'st2. ,<|>\n\t\x0b\x0c\r\x1c\x85 \u0301é\u2028İ日") for _ in range(r.randrange(60))) for _ in range(400)] + [SPECIAL, MIXED, ""]
+    words, row, place, times, special = splitter.frequencies(texts)
+    got = [(Counter(), int(n)) for n in special]
+    for i, w, n in zip(row, place, times, strict=True):
+        got[i][0][words[w]] += int(n)
+    assert got == [(Counter(w), n) for t in texts for w, n in [splitter.split(t)]]
+    assert list(zip(row, place)) == sorted(set(zip(row, place)))
+    values = np.array([0, 1, 70_000, 2**32 - 1])
+    assert token_counts.unpacked(token_counts.packed(values), 4).tolist() == values.tolist()
 
 
 def plain_audit(rows, least, top):
