@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import cut, release
 
 #: Characters of text in a block (a longer text makes a block of its own), and documents in it.
-BLOCK, BLOCK_ROWS = 1 << 22, 5000
+BLOCK, BLOCK_ROWS = 1 << 23, 10_000
+#: Words whose numbers of pieces a task holds before it sends them back by block.
+HELD = 1_000_000
 #: The pattern of pre-tokens at which `Splitter.by_chunk` holds, and what it matches in ASCII; fixed values.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
@@ -159,18 +161,33 @@ def blocks_of(docs: DataFrame, path: str) -> DataFrame:
 
 
 def pieces(words: DataFrame, path: str) -> DataFrame:
-    """(block, place, pieces) of rows (block, place, word): words meet, sorted, and each is split into the pieces of the tokenizer's model once."""
+    """(block, places, pieces) of rows (block, place, word): words meet, sorted, and each is split into the pieces of the tokenizer's model once. Several rows
+    may come back for a block."""
+
+    def by_block(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        block, place, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((place, block))
+        first = np.flatnonzero(np.diff(block[order], prepend=block[order[0]] - 1))
+        ends = pa.array([*first, len(order)], pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(block[order[first]]), *(pa.ListArray.from_arrays(ends, pa.array(c[order])) for c in (place, n))], ["block", "places", "pieces"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
         tokenize = Tokenizer.from_file(path).model.tokenize
+        held, rows = [], 0
         for b in batches:
             word = b.column("word").dictionary_encode()
-            n = pa.array([len(tokenize(w)) for w in word.dictionary.to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("place"), n.take(word.indices)], ["block", "place", "pieces"])
+            n = np.fromiter((len(tokenize(w)) for w in word.dictionary.to_pylist()), "i4", len(word.dictionary))
+            held.append((b.column("block").to_numpy(), b.column("place").to_numpy(), n[word.indices.to_numpy()]))
+            rows += b.num_rows
+            if rows >= HELD:
+                yield by_block(held)
+                held, rows = [], 0
+        if rows:
+            yield by_block(held)
 
-    return words.hint("rebalance", "word").sortWithinPartitions("word").mapInArrow(run, "block long, place int, pieces int")
+    return words.hint("rebalance", "word").sortWithinPartitions("word").mapInArrow(run, "block long, places array<int>, pieces array<int>")
 
 
 def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +202,10 @@ def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ends = np.cumsum(sizes)
                 run = np.cumsum(jump)
                 before = np.concatenate([[0], run])[ends - sizes]  # what earlier documents add to the running sum
-                each = x["pieces"].values.to_numpy().astype("i8")[run - np.repeat(before, sizes)] * times
+                place, got = (x["of"].values.field(c).flatten().to_numpy() for c in ("places", "pieces"))
+                pieces = np.empty(len(place), "i8")  # every place of the block comes back once
+                pieces[place] = got
+                each = pieces[run - np.repeat(before, sizes)] * times
                 total = np.diff(np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], ends])])
             yield pa.RecordBatch.from_arrays([x["doc_id"].values, x["n_bytes"].values, pa.array(total + x["special"].values.to_numpy(), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
@@ -194,7 +214,7 @@ def counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit (more than `limit` tokens)."""
     blocks = cut(blocks_of(docs, path))
     got = pieces(blocks.select("block", F.posexplode("words").alias("place", "word")), path)
-    of = got.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "pieces")))["pieces"].alias("pieces"))  # a block's words are bounded by its texts
+    of = got.groupBy("block").agg(F.collect_list(F.struct("places", "pieces")).alias("of"))  # a block's words are bounded by its texts
     each = blocks.drop("words").join(of, "block", "left").mapInArrow(sums, "doc_id long, n_bytes long, n_tokens long")  # blocks of empty texts have no words
     out = cut(each.withColumn("over_limit", F.col("n_tokens") > limit))
     release(blocks)
