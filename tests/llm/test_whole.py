@@ -1,10 +1,13 @@
 """Whole operators and the pipeline against plain versions of what they have to find."""
 
 import hashlib
+import math
 import random
+import zlib
 import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -150,3 +153,65 @@ def test_pipeline(spark, tmp_path):
     for x in packed:
         sums[x.doc_id] = sums.get(x.doc_id, 0) + x.length
     assert sums == tokens
+
+
+def plain_model(rows, longest=4):
+    """Counts of words (length 0) and n-grams by language."""
+    counts = {}
+    for lang, text in rows:
+        own = counts.setdefault(lang, [{} for _ in range(longest + 1)])
+        for w in regex.findall(r"[\p{L}\p{M}]+", text.lower()):
+            own[0][w] = own[0].get(w, 0) + 1
+            t = f"^{w}$"
+            for k in range(1, longest + 1):
+                for i in range(len(t) - k + 1):
+                    own[k][t[i : i + k]] = own[k].get(t[i : i + k], 0) + 1
+    return counts
+
+
+def plain_prediction(counts, text, longest=4, sharpness=4.0):
+    langs = sorted(counts)
+    total = {(lang, k): sum(counts[lang][k].values()) for lang in langs for k in range(longest + 1)}
+    log = lambda lang, k, unit: math.log(counts[lang][k][unit] / total[lang, k] if unit in counts[lang][k] else 0.5 / (total[lang, k] + 1))
+    score, n = dict.fromkeys(langs, 0.0), 0
+    known = lambda k, unit: any(unit in counts[lang][k] for lang in langs)
+    for w in regex.findall(r"[\p{L}\p{M}]+", text.lower()):
+        units, i, t = [], 0, f"^{w}$"
+        if known(0, w):
+            units = [(0, w)]
+        else:
+            while i < len(t):
+                k = next((k for k in range(min(longest, len(t) - i), 0, -1) if known(k, t[i : i + k])), 0)
+                units += [(k, t[i : i + k])] if k else []
+                i += max(k, 1)
+        n += len(units)
+        for lang in langs:
+            score[lang] += sum(log(lang, k, u) for k, u in units)
+    share = {lang: math.exp((score[lang] - max(score.values())) / max(n, 1) * sharpness) for lang in langs}
+    best = max(langs, key=lambda lang: (score[lang], [-ord(c) for c in lang]))
+    return best, share[best] / sum(share.values())
+
+
+def test_language_scores_by_brute_force(spark):
+    r = random.Random(12)
+    words = {"aa": "alpha beta gamma élan delta".split(), "bb": "omega beta sigma tau rho".split(), "cc": "uno dos tres quatro élan".split()}
+    rows = [(i, " ".join(r.choices(words[lang], k=12)) + ".", lang) for i, lang in enumerate(["aa", "bb", "cc"] * 12)]
+    rows += [(100, "gamm tauq ÉLAN x9 uno", None), (101, "ß qqq", None), (102, "beta " * 3000 + "omegas", None)]
+    got = {x.doc_id: (x.lang_pred, x.score) for x in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    counts = plain_model([(lang, t) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 3 != 1])
+    for i, t, _ in rows:
+        want = plain_prediction(counts, t)
+        assert got[i][0] == want[0] and got[i][1] == pytest.approx(want[1])
+
+
+def test_language_model_is_bounded_in_bytes(spark):
+    """Long texts in many languages, each text of words of its own: the model grows with the bytes allowed, not with rows or languages."""
+    rows = spark.range(1200).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.col("id") % 30).alias("lang"), F.expr("array_join(transform(sequence(1, 3000), x -> translate(md5(concat(id, ':', x)), '0123456789', 'ghijklmnop')), ' ')").alias("text"))
+    settings = language_id.Settings(total_bytes=3 << 20)
+    model = language_id.fit(rows, settings)
+    assert len(model.langs) == 30 and 30 * 3000 <= len(model.words) <= (3 << 20) / 33 + 30 * 3000
+    assert len(model.value) == len(model.lang) == model.start[-1] <= len(model.words) + 30 * len(model.grams)  # a word of one language has one log, not 30
+    hot = rows.withColumn("lang", F.lit("l0"))
+    assert len(language_id.fit(hot, settings).words) <= 2 * (3 << 20) / 33
+    few = language_id.fit(rows.limit(3), language_id.Settings(sample_bytes=1000))
+    assert len(few.words) == 9000  # texts over the bound: one per language

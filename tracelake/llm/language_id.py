@@ -6,8 +6,11 @@ known character n-grams (of the word with bounds), falling back to shorter ones;
 even alone scores the same for all languages.
 
 The classifier is fit on a bounded sample: of every language, the first `sample` labelled training rows
-by a hash of doc_id and text (all rows if there are no more). All words and n-grams of the sample are
-kept, so the sample alone bounds the model that is sent to all tasks. Everything is predicted.
+by a hash of doc_id and text (all rows if there are no more), and of these no more than fill
+`sample_bytes` bytes, or the language's part of `total_bytes`. Texts that alone are longer come last;
+a language that has only such texts learns from one. All words and n-grams of the sample are kept, and
+a unit has log frequencies for the languages that have it only, so the sample's bytes bound the model
+that is sent to all tasks, whatever the number of languages. Everything is predicted.
 
 A language's score is its share: the softmax of the mean log frequency per scored unit, times a
 sharpness.
@@ -43,20 +46,33 @@ LETTER = regex.compile(r"\p{L}").search
 @dataclass(frozen=True)
 class Settings:
     sample: int = 2000  # training rows per language, at most
+    sample_bytes: int = 8 << 20  # of their texts per language
+    total_bytes: int = 64 << 20  # of all languages' texts
     longest: int = 4  # of the n-grams
     sharpness: float = 4.0
 
 
 @dataclass
 class Model:
-    """Units as Arrow arrays, which travel and lie in a fraction of the memory of a dict; workers index them."""
+    """Units as Arrow arrays, which travel and lie in a fraction of the memory of a dict; workers index them. Logs are sparse: those of unit i are at
+    start[i] to start[i + 1], and a language that doesn't have the unit has the default for units of its length."""
 
     langs: list[str]
     words: pa.Array
     grams: pa.Array
-    logs: np.ndarray  # log frequency by unit (words, then n-grams) and language
+    length: np.ndarray  # by unit (words, then n-grams): 0 for a word, else characters
+    start: np.ndarray
+    lang: np.ndarray
+    value: np.ndarray
+    default: np.ndarray  # by length and language
     settings: Settings = Settings()
 
+    def logs(self, unit: int) -> np.ndarray:
+        out = self.default[self.length[unit]].copy()
+        a, b = self.start[unit], self.start[unit + 1]
+        out[self.lang[a:b]] = self.value[a:b]
+        return out
+
 
 def crossing(sizes: DataFrame, part: str, room: Column) -> DataFrame:
     """Per language the part in which the running number of rows reaches `room` (none if it never does): lang, part, room left in it."""
@@ -80,7 +96,16 @@ def sampled(rows: DataFrame, settings: Settings) -> DataFrame:
     near = cut(spread.join(F.broadcast(ends), "lang", "left").withColumn("inside", F.coalesce(inside, F.lit(False))).filter(F.col("inside") | edge))  # one row per language
     ranked = near.filter("not inside").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text")))
     fill = ranked.filter((F.col("k") <= settings.sample) & (F.col("k") <= F.col("room")))  # the constant bound is applied before the shuffle
-    return near.filter("inside").select("lang", "text").union(fill.select("lang", "text"))
+    return filling(near.filter("inside").select("lang", "text", "h").union(fill.select("lang", "text", "h")), settings)
+
+
+def filling(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Of each language's rows (lang, text, h; at most `sample`) the first by hash until the bytes are reached, longer texts than that last."""
+    room = min(settings.sample_bytes, settings.total_bytes // max(rows.select("lang").distinct().count(), 1))
+    rows = rows.withColumn("size", F.octet_length("text").cast("long")).withColumn("at", F.struct((F.col("size") > room).alias("over"), F.col("h")))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = rows.select("lang", "size", "at").withColumn("before", before).filter(F.col("before") < room).groupBy("lang").agg(F.max("at").alias("last"))
+    return rows.join(F.broadcast(last), "lang").filter("at <= last").select("lang", "text")  # one row per language
 
 
 def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
@@ -114,10 +139,10 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
     at = np.where(k == 0, place[0], len(words) + place[1])
     totals = np.zeros((longest + 1, len(langs)))
     np.add.at(totals, (k, lang), n)
-    logs = np.zeros((len(words) + len(grams), len(langs)))
-    logs[at] = np.log(0.5 / (totals + 1))[k]  # a unit that a language of the sample doesn't have
-    logs[at, lang] = np.log(n / totals[k, lang])
-    return Model(langs, words, grams, logs, settings)
+    order = np.lexsort((lang, at))
+    start = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(words) + len(grams)))])
+    length = np.concatenate([np.zeros(len(words), "u1"), pc.utf8_length(grams).to_numpy().astype("u1")])
+    return Model(langs, words, grams, length, start, lang[order].astype("i4"), np.log(n / totals[k, lang])[order], np.log(0.5 / (totals + 1)), settings)
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -128,8 +153,8 @@ class Scorer:
     """Scores texts in a worker; a bounded cache keeps the words' scores."""
 
     def __init__(self, model: Model, cached: int = 300_000):
-        self.model, self.cached = model, cached
         k = len(model.langs)
+        self.model, self.cached = model, (cached := max(1000, min(cached, 4_000_000 // (k + 1))))
         self.words = {w: i for i, w in enumerate(model.words.to_pylist())}
         self.grams = {g: i for i, g in enumerate(model.grams.to_pylist(), len(self.words))}
         self.rows = np.zeros((cached + 1, k + 1))
@@ -142,7 +167,7 @@ class Scorer:
         while i < len(text):
             for k in range(min(self.model.settings.longest, len(text) - i), 0, -1):
                 if (got := self.grams.get(text[i : i + k])) is not None:
-                    total += self.model.logs[got]
+                    total += self.model.logs(got)
                     n += 1
                     break
             else:
@@ -154,7 +179,7 @@ class Scorer:
         if len(self.at) >= self.cached:
             self.at.clear()
         known = self.words.get(word)
-        total, n = (self.model.logs[known], 1) if known is not None else self.unseen(word)
+        total, n = (self.model.logs(known), 1) if known is not None else self.unseen(word)
         i = self.at[word] = len(self.at)
         self.rows[i, :-1], self.rows[i, -1] = total, n
         return i
