@@ -18,13 +18,24 @@ def test_contradictions_need_two_values_and_two_documents(spark):
 
 def test_corroboration_counts_a_document_once(spark):
     rows = [("a", "d", 1, "cdr", 5), ("a", "d", 1, "bank", 9), ("b", "d", 1, "cdr", 1), ("b", "d", 2, "bank", 2), ("c", "d", 1, "cdr", 1), ("c", "d", 2, "cdr", 2), ("e", "d", 1, "cdr", 1), ("e", "d", 2, "cdr", 2)]
-    claims = spark.createDataFrame(rows, "subject string, dimension string, document int, kind string, micros long")
-    against = spark.createDataFrame([("e", "d"), ("e", "d")], "subject string, dimension string")
+    claims = spark.createDataFrame(rows, "subject string, dimension string, document int, kind string, micros long").withColumn("value", F.lit(" At  Home"))
+    against = spark.createDataFrame([("e", "d", "at home", False), ("e", "d", "at home", False), ("b", "d", "at home", True)], "subject string, dimension string, value string, negated boolean")
     got = {r.subject: (r.support, r.status) for r in R.corroboration(claims, against).collect()}
     assert got == {"a": (1, "SINGLE_SOURCE"), "b": (2, "MULTI_TYPE_CORROBORATED"), "c": (2, "MULTI_SOURCE_SUPPORTED"), "e": (2, "CONFLICTED")}
     assert {r.subject for r in R.corroboration(claims, least=2).collect()} == {"b", "c", "e"}
 
 
+def test_corroboration_is_of_one_value(spark):
+    """Different values, and a value and its denial, support each other in nothing; a conflict taints what is claimed in its hour only."""
+    hour, day = 3_600_000_000, 86_400_000_000
+    rows = [("s", "status", "open", 1, 1, "cdr", 0), ("s", "status", "closed", 1, 2, "bank", 11 * day), ("s", "status", " Open. ", 1, 3, "bank", 12 * day), ("s", "status", "open", -1, 4, "bank", 13 * day),
+        ("t", "place", "x", 1, 1, "cdr", 0), ("t", "place", "y", 1, 2, "cdr", hour // 2), ("t", "place", "z", 1, 3, "cdr", 5 * day), ("t", "place", "z", 1, 4, "cdr", 6 * day), ("t", "place", None, 1, 5, "cdr", 0)]
+    claims = spark.createDataFrame(rows, "subject string, dimension string, value string, polarity int, document int, kind string, micros long")
+    got = {(r.subject, r.value, r.negated): (r.support, r.status) for r in R.corroboration(claims, R.contradicted(claims)).collect()}
+    assert got == {("s", "open", False): (2, "MULTI_TYPE_CORROBORATED"), ("s", "closed", False): (1, "SINGLE_SOURCE"), ("s", "open", True): (1, "SINGLE_SOURCE"),
+        ("t", "x", False): (1, "CONFLICTED"), ("t", "y", False): (1, "CONFLICTED"), ("t", "z", False): (2, "MULTI_SOURCE_SUPPORTED"), ("t", "", False): (1, "SINGLE_SOURCE")}
+
+
 def test_convergence(spark):
     rows = spark.createDataFrame([(3, 2), (2, 2), (1, 2), (3, 1), (0, 0)], "k int, d int").select("k", "d", R.convergence(F.col("k"), F.col("d")).alias("c"))
     assert [r.c for r in rows.collect()] == ["INDEPENDENT_SOURCE_CONVERGENCE", "MULTI_SOURCE", "MULTI_RECORD", "SINGLE_SOURCE", "NONE"]

@@ -18,17 +18,33 @@ def contradictions(claims: DataFrame, minutes: int = 60) -> DataFrame:
     return out.filter("n_values > 1 and documents > 1")
 
 
+def identity(claims: DataFrame) -> DataFrame:
+    """Claims with what they assert: `value` in lower case, of letters, digits and + only, with single spaces (null: empty; accents are kept), and whether it is `negated` (by a polarity below 0, if there is one)."""
+    negated = F.coalesce(F.col("polarity") < 0, F.lit(False)) if "polarity" in claims.columns else F.lit(False)
+    squashed = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col("value").cast("string"), F.lit(""))), r"[^\p{L}\p{M}\p{N}+]+", " "))
+    return claims.withColumns({"value": squashed, "negated": negated})
+
+
+def contradicted(claims: DataFrame, minutes: int = 60) -> DataFrame:
+    """(subject, dimension, value, negated) of the claims that another one contradicts within a bucket of time: only what is claimed there, not every value of
+    the dimension. In a bucket with two values and two documents each value meets another value of another document."""
+    bucket = F.col("micros") - F.pmod("micros", F.lit(minutes * 60_000_000))
+    rows = claims.filter("value is not null").withColumn("bucket", bucket)
+    return identity(rows.join(contradictions(claims, minutes).select("subject", "dimension", "bucket"), ["subject", "dimension", "bucket"], "left_semi")).select("subject", "dimension", "value", "negated").distinct()
+
+
 def corroboration(claims: DataFrame, contradicted: DataFrame | None = None, least: int = 1) -> DataFrame:
-    """Per claim (subject, dimension): distinct documents, kinds of evidence, first and last time, status. A document counts once, by its first
-    claim (micros, then kind). claims: subject, dimension, document, kind, micros; contradicted: subject, dimension."""
-    first = claims.groupBy("subject", "dimension", "document").agg(F.min(F.struct("micros", "kind")).alias("c"))
-    out = first.groupBy("subject", "dimension").agg(
-        F.count(F.lit(1)).alias("support"), F.countDistinct("c.kind").alias("kinds"), F.min("c.micros").alias("first"), F.max("c.micros").alias("last"))
+    """Per assertion (subject, dimension, normalised value, negated or not; not its time): distinct documents, kinds of evidence, first and last time, status.
+    A document counts once, by its first claim (micros, then kind). claims: subject, dimension, value, document, kind, micros and maybe polarity;
+    contradicted: subject, dimension, value, negated."""
+    key = ["subject", "dimension", "value", "negated"]
+    first = identity(claims).groupBy(*key, "document").agg(F.min(F.struct("micros", "kind")).alias("c"))
+    out = first.groupBy(*key).agg(F.count(F.lit(1)).alias("support"), F.countDistinct("c.kind").alias("kinds"), F.min("c.micros").alias("first"), F.max("c.micros").alias("last"))
     out = out.filter(F.col("support") >= max(1, least))
     if contradicted is None:
         out = out.withColumn("against", F.lit(None).cast("boolean"))
     else:
-        out = out.join(contradicted.select("subject", "dimension").distinct().withColumn("against", F.lit(True)), ["subject", "dimension"], "left")
+        out = out.join(contradicted.select(*key).distinct().withColumn("against", F.lit(True)), key, "left")
     many = F.col("support") >= 2
     status = F.when(F.col("against"), "CONFLICTED").when(many & (F.col("kinds") >= 2), "MULTI_TYPE_CORROBORATED").when(many, "MULTI_SOURCE_SUPPORTED").otherwise("SINGLE_SOURCE")
     return out.withColumn("status", status).drop("against")

@@ -11,6 +11,7 @@ from tracelake.functions import scalar as S
 from tracelake.operators import evidence as E
 from tracelake.operators import graph as G
 from tracelake.operators import patterns as P
+from tracelake.operators import proximity as N
 from tracelake.operators import review as R
 from tracelake.operators import search as V
 from tracelake.sources import calls, persons, table, transfers
@@ -248,8 +249,25 @@ def top_k_per_group(spark, d):
     SELECT a.event_id AS a, b.event_id AS b FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.s <= b.t AND a.t >= b.s""")
 def overlapping_events(spark, d):
     c = calls(spark, d).select(F.col("evidence").alias("a"), F.col("src").alias("user"), F.col("micros").alias("s"), (F.col("micros") + 60_000_000 * (1 + F.col("dst"))).alias("t"))
-    other = c.select(F.col("a").alias("b"), "user", F.col("s").alias("s2"), F.col("t").alias("t2"))
-    return c.join(other, "user").filter("a < b AND s <= t2 AND t >= s2").select("a", "b")
+    return N.overlaps(c, "user", "a", "s", "t", 7_200_000_000)
+
+
+PLACES = """place AS (SELECT DISTINCT dst AS place, 28.6 + dst % 10 * 0.004 AS lat, 77.2 + dst // 10 * 0.02 AS lon FROM calls)"""
+
+
+@query(f"""WITH {CALLS}, {PLACES}, near AS (SELECT a.place, b.place AS other FROM place a JOIN place b
+        ON a.place = b.place OR 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 1.0),
+    h AS (SELECT DISTINCT src AS person, dst AS place, micros // 86400000000 AS day FROM calls WHERE event_type = 'signup'), j AS (SELECT x.person AS a, y.person AS b, x.place AS p, y.place AS q, CASE WHEN x.day = y.day THEN x.day END AS day
+    FROM h x JOIN near ON x.place = near.place JOIN h y ON y.place = near.other AND x.person < y.person), g AS (SELECT a, b, count(DISTINCT day) AS dates FROM j GROUP BY a, b),
+    k AS (SELECT a, b, count(DISTINCT spot) AS places FROM (SELECT a, b, unnest([p, q]) AS spot FROM j) GROUP BY a, b)
+    SELECT a, b, dates, places, CASE WHEN dates >= 2 OR places >= 2 THEN 'COLOCATION' ELSE 'SET_ASIDE' END AS status FROM g JOIN k USING (a, b)""")
+def colocation_pairs(spark, d):
+    """Users seen within a kilometre of each other; places are the numbers in the events, on a street plan."""
+    c = calls(spark, d)
+    k = F.col("dst")
+    places = c.select(k.alias("place"), (28.6 + k % 10 * 0.004).alias("lat"), (77.2 + F.floor(k / 10) * 0.02).alias("lon"))
+    seen = c.filter("event_type = 'signup'").select(F.col("src").alias("person"), k.alias("place"), F.expr("micros div 86400000000").alias("day"))
+    return N.colocations(seen, places)
 
 
 @query(f"""WITH {TX} SELECT src, dst, count(*) AS n, CASE WHEN count(*) >= 3 THEN 'high' WHEN count(*) >= 2 THEN 'medium' ELSE 'low' END AS band FROM tx GROUP BY src, dst""")
@@ -403,15 +421,20 @@ def contradictions(spark, d):
     return R.contradictions(_claims(spark, d))
 
 
-@query(f"""WITH {CALLS}, {CONFLICTS}, r AS (SELECT src AS subject, dst AS dimension, event_type AS kind, micros, row_number() OVER (PARTITION BY src, dst, micros // 86400000000 ORDER BY micros, event_type) AS k FROM calls),
-    g AS (SELECT subject, dimension, count(*) AS support, count(DISTINCT kind) AS kinds, min(micros) AS first, max(micros) AS last FROM r WHERE k = 1 GROUP BY ALL)
-    SELECT g.*, CASE WHEN (subject, dimension) IN (SELECT (subject, dimension) FROM conflicts) THEN 'CONFLICTED' WHEN support >= 2 AND kinds >= 2 THEN 'MULTI_TYPE_CORROBORATED' WHEN support >= 2 THEN 'MULTI_SOURCE_SUPPORTED'
-    ELSE 'SINGLE_SOURCE' END AS status FROM g""")
+@query(f"""WITH {CALLS}, {CONFLICTS}, claim AS (SELECT src AS subject, dst AS dimension, event_type AS value, duration < 10 AS negated, evidence AS document, event_type, micros FROM calls),
+    against AS (SELECT DISTINCT src AS subject, dst AS dimension, event_type AS value, duration < 10 AS negated FROM calls c JOIN conflicts ON subject = c.src AND dimension = c.dst AND bucket = c.micros - c.micros % 3600000000),
+    once AS (SELECT *, micros // 43200000000 AS log, CASE WHEN micros // 43200000000 % 2 = 0 THEN 'night' ELSE 'day' END AS kind FROM claim),
+    g AS (SELECT subject, dimension, value, negated, count(DISTINCT log) AS support, count(DISTINCT kind) AS kinds, min(micros) AS first, max(micros) AS final FROM once GROUP BY ALL)
+    SELECT g.subject, g.dimension, g.value, g.negated, support, kinds, first, (SELECT max(m) FROM (SELECT min(micros) AS m FROM once o WHERE o.subject = g.subject AND o.dimension = g.dimension AND o.value = g.value AND o.negated = g.negated GROUP BY log)) AS last,
+    CASE WHEN a.subject IS NOT NULL THEN 'CONFLICTED' WHEN support >= 2 AND kinds >= 2 THEN 'MULTI_TYPE_CORROBORATED' WHEN support >= 2 THEN 'MULTI_SOURCE_SUPPORTED' ELSE 'SINGLE_SOURCE' END AS status
+    FROM g LEFT JOIN against a ON a.subject = g.subject AND a.dimension = g.dimension AND a.value = g.value AND a.negated = g.negated""")
 def corroboration(spark, d):
-    """A day's log is a document, an event's type the kind of evidence."""
-    day = F.expr("micros div 86400000000").alias("document")
-    claims = _claims(spark, d).select("subject", "dimension", "micros", F.col("value").alias("kind"), day)
-    return R.corroboration(claims, R.contradictions(_claims(spark, d)))
+    """What each user's events with a partner claim (their type; short ones deny it), by half-day logs that are of night or day."""
+    log = F.expr("micros div 43200000000")
+    claims = calls(spark, d).select(F.col("src").alias("subject"), F.col("dst").alias("dimension"), "micros", F.col("event_type").alias("value"), F.when(F.col("duration") < 10, -1).otherwise(1).alias("polarity"), F.col("evidence").alias("record"), log.alias("document"))
+    claims = claims.withColumn("kind", F.when(F.col("document") % 2 == 0, "night").otherwise("day"))
+    against = R.contradicted(claims.drop("document").withColumnRenamed("record", "document"))
+    return R.corroboration(claims, against)
 
 
 @query(f"""WITH {CALLS}, g AS (SELECT src, dst, count(DISTINCT event_type) AS kinds, count(DISTINCT evidence) AS docs FROM calls GROUP BY ALL)
