@@ -32,7 +32,7 @@ def betweenness_sql(rounds: int = 6) -> str:
     st AS MATERIALIZED (SELECT u.s, u.node AS a, v.node AS b FROM d{rounds} u JOIN e USING (node) JOIN d{rounds} v ON v.s = u.s AND v.node = e.nxt AND v.d = u.d + e.w),
     p0 AS (SELECT s, node, 1.0::DOUBLE AS x FROM d0), {wave("p", "a", "b")} paths AS MATERIALIZED (SELECT s, node, sum(x) AS x FROM ({every("p")}) GROUP BY ALL),
     q0 AS (SELECT s, node, 1 / x AS x FROM paths), {wave("q", "b", "a")} back AS (SELECT s, node, sum(x) AS g FROM ({every("q")}) GROUP BY ALL),
-    through AS (SELECT node, sum(x * g - 1) AS t FROM paths JOIN back USING (s, node) WHERE s <> node GROUP BY node), n AS (SELECT count(node) AS n FROM nodes),
+    through AS (SELECT node, sum(greatest(0.0, x * g - 1)) AS t FROM paths JOIN back USING (s, node) WHERE s <> node GROUP BY node), n AS (SELECT count(node) AS n FROM nodes),
     bet AS (SELECT node, round(coalesce(t, 0) / ((n - 1) * (n - 2)), 9) AS betweenness FROM nodes LEFT JOIN through USING (node), n WHERE node IS NOT NULL)"""
 
 
