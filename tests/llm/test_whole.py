@@ -101,12 +101,44 @@ def test_slot_map_is_stored_and_edited(spark, tmp_path):
         return {x.doc_id: x.shard for x in sharding.shard(docs.withColumn("text", F.concat("text", F.col("doc_id"))), n, folder).collect()}
 
     first, again = shards(8), shards(8)
-    assert first == again and sharding.last_version(spark, folder)[0] == 1
+    assert first == again and sharding.last_version(spark, folder).version == 1
     more = shards(9)
-    assert sharding.last_version(spark, folder)[0] == 2
+    assert sharding.last_version(spark, folder).version == 2
     assert all(more[i] in (first[i], 8) for i in first) and 8 in more.values()
 
 
+def test_hot_groups_keep_to_the_map(spark, tmp_path):
+    """A text of an eighth of the bytes that must be spread when a shard is added: rows move to the new shard only. Then sizes drift, and shards go."""
+    folder = str(tmp_path / "map")
+    docs = spark.range(4000).select(F.when(F.col("id") != 7, F.col("id")).alias("doc_id"), F.when(F.col("id") % 25 < 3, F.lit("hot" * 33)).otherwise(F.concat(F.col("id"), F.repeat(F.lit("x"), (F.col("id") % 190).cast("int")))).alias("text"))
+
+    def run(rows, n):
+        got = sharding.shard(rows, n, folder).collect()
+        loads, places = [0] * n, {}
+        for x in got:
+            loads[x.shard] += x["size"]
+            places.setdefault(x.shard, []).append(x.slot)
+        assert max(loads) <= 1.03 * sum(loads) / n and all(sorted(p) == list(range(len(p))) for p in places.values())
+        return {x.doc_id: x.shard for x in got if x.doc_id is not None}
+
+    first, again = run(docs, 8), run(docs, 8)
+    assert first == again
+    more = run(docs, 9)
+    assert all(more[i] in (first[i], 8) for i in first) and 8 in more.values()
+    most = run(docs, 12)
+    assert all(most[i] == more[i] or most[i] > 8 for i in first)
+    spread = sharding.last_version(spark, folder).spread
+    assert spread == [hashlib.md5(("hot" * 33).encode()).hexdigest()]
+    drifted = docs.union(spark.range(5000, 6500).select("id", F.lit("drift" * 20)))
+    run(drifted, 12)
+    assert sharding.last_version(spark, folder).spread[0] == spread[0]
+    kept = sharding.last_version(spark, folder).shards
+    less = run(drifted, 10)
+    assert set(less.values()) == set(range(10))
+    now = sharding.last_version(spark, folder).shards
+    assert sum(a == b for a, b in zip(kept, now)) > 0.7 * len(kept)
+
+
 OPERATORS = {
     "secrets": secret_scan.digests, "redact": secret_scan.redact, "ctw": ctw_score.scores, "language": language_id.identify, "keep": language_id.keep_identified,
     "pii": pii.digests, "shard": sharding.shard, "bpe": lambda d: bpe.digests(d, tokenizer_path()), "exact": exact_dedup.mark, "exact kept": exact_dedup.survivors,

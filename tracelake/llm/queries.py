@@ -34,7 +34,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(load(spark, sf_dir, "documents"), 8)
+    return sharding.shard(load(spark, sf_dir, "documents"), 8, sharding.map_folder(spark, f"{sf_dir}/documents.parquet"))
 
 
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
