@@ -61,6 +61,24 @@ def test_secrets(docs):
     assert clean[9].count("[SECRET]") == 3 and clean[10] == TEXTS[10] and clean[0] is None
 
 
+def test_added_kinds_of_secrets(spark, monkeypatch):
+    """The added kinds by brute force, the pem label of any length, overlapping spans masked once; the same with keys that are joined by a shuffle."""
+    label = "RSA VERY " * 20
+    texts = [f"x -----BEGIN {label}PRIVATE KEY----- y", "-----BEGIN PRIVATE KEY-----", "-----BEGIN rsa PRIVATE KEY-----", "a ghp_" + "aB3" * 12 + " b ghx_" + "a" * 36 + " ghs_" + "a" * 35,
+             "xoxb-123456789-ab xoxq-123456789-ab xoxb-12345", "token=eyJ" + "a" * 10 + "." + "b" * 12 + "." + "c" * 11 + " end", "é eyJabc.def.ghi", "secret: ghp_" + "a1" * 20, None, ""]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts * 2)], "doc_id long, text string, key long, rules long")
+    want = []
+    for i, t in enumerate(texts * 2):
+        found = sorted((m.start(), k, m.end()) for k, r in enumerate(secret_scan.RULES) for m in re.finditer(r.pattern, t or "", re.A) if len(m.group(r.group)) >= r.least)
+        want.append((i, ",".join(f"{secret_scan.RULES[k].kind}:{a}:{b}" for a, k, b in found)))
+    assert sorted((r.doc_id, r.spans) for r in secret_scan.digests(df).collect()) == want
+    assert sum("pem" in x for _, x in want) == 4 and sum("jwt" in x for _, x in want) == 2
+    clean = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert clean[5] == "[SECRET] end" and clean[7] == "[SECRET]" and clean[0] == "x [SECRET] y"
+    monkeypatch.setattr(secret_scan, "KEYS", 0)
+    assert sorted((r.doc_id, r.spans) for r in secret_scan.digests(df).collect()) == want
+
+
 def test_trigram_queries():
     assert secret_scan.trigram_query("AKIA[A-Z0-9]+") == ("and", ("aki", "kia"))
     assert secret_scan.trigram_query("[0-9a-f]{24,}") is None

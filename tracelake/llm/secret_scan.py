@@ -7,8 +7,13 @@ rule's candidates, and only they are verified by the regex, over the whole text.
 mandatory trigrams has no query and scans all texts.
 
 Row keys are 64-bit hashes of doc_id and text. A clash or a repeated row only adds a candidate, which
-the verification then decides, so results are exact. Null text counts as empty and has no secrets.
-Spans count code points, end exclusive.
+the verification then decides, so results are exact. Up to KEYS candidate keys are sent to the texts;
+only beyond that are texts shuffled to meet their keys.
+
+- Null texts count as empty and have no secrets; null ids are no matter, as rows stay where they are.
+- Very long texts are scanned whole. Spans count code points, end exclusive.
+- Ties (spans of several kinds with one start) are ordered by kind as listed. Repeated rows each have their spans.
+- Empty tables give no row. Other columns are kept; one named as the column of spans is replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -40,7 +47,7 @@ BASE = (
 )
 #: Kinds that are added to them; fixed values.
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
@@ -48,6 +55,8 @@ MORE = (
 RULES = BASE + MORE
 #: Rows of a block of the index, on average.
 BLOCK = 4096
+#: Candidate keys are sent to all texts up to this number: two longs each, so some 10 MB.
+KEYS = 1 << 18
 
 #: A query: a trigram, ("and", parts) or ("or", parts); None holds for every text.
 Query = str | tuple | None
@@ -161,17 +170,17 @@ def answer(query: Query, numbers: dict[str, int]) -> Column:
 
 
 def numbered(keys: Column, rule: int) -> Column:
-    return F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(rule).alias("rule")))
+    return F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(1 << rule).cast("long").alias("rule")))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Row keys with the numbers of the rules that they are candidates of."""
+    """Row keys with the numbers of the rules that they are candidates of, as bits of a long."""
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None}
     vocabulary = sorted(set().union(*map(trigrams, queries.values()))) if queries else []
     numbers = {t: i for i, t in enumerate(vocabulary)}
     found = [numbered(answer(q, numbers), i) for i, q in queries.items()]
-    hits = index(docs, vocabulary).select(F.inline(F.concat(*found) if found else F.array().cast("array<struct<key:bigint,rule:int>>")))
-    return hits.groupBy("key").agg(F.collect_set("rule").alias("rules"))
+    hits = index(docs, vocabulary).select(F.inline(F.concat(*found) if found else F.array().cast("array<struct<key:bigint,rule:bigint>>")))
+    return hits.groupBy("key").agg(F.bit_or("rule").alias("rules"))
 
 
 SPAN = "array<struct<start:int,rank:int,end:int>>"
@@ -196,13 +205,15 @@ def matches(text: Column, rule: Rule, rank: int) -> Column:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, spans: str = "secret_spans") -> DataFrame:
     """All rows with an array of (start, rank of the rule, end), ordered; a column of this name is replaced."""
     docs = docs.drop(spans)
-    found = candidates(docs, rules).select(F.col("key").alias("__tl_key"), F.col("rules").alias("__tl_rules"))
+    found = cut(candidates(docs, rules).select(F.col("key").alias("__tl_key"), F.col("rules").alias("__tl_rules")))
+    if found.count() <= KEYS:
+        found = F.broadcast(found)
     rows = docs.withColumn("__tl_key", row_key()).join(found, "__tl_key", "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast(SPAN)
     each = []
     for i, rule in enumerate(rules):
-        is_candidate = F.array_contains("__tl_rules", i) if trigram_query(rule.pattern) is not None else F.lit(True)
+        is_candidate = (F.coalesce("__tl_rules", F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0) if trigram_query(rule.pattern) is not None else F.lit(True)
         each.append(F.when(is_candidate & text.rlike(rule.pattern), matches(text, rule, i)).otherwise(none))
     return rows.withColumn(spans, F.array_sort(F.concat(*each))).drop("__tl_key", "__tl_rules")
 
