@@ -73,3 +73,36 @@ def test_a_stream_checks_only_changed_keys(spark, tmp_path):
     finally:
         q.stop()
     assert {(r.user, r.n) for r in spark.read.schema("user long, n long, batch int").parquet(out).collect()} == {(2, 2)}
+
+
+def test_conflicts_by_the_rule_of_each_dimension(spark):
+    """Against all pairs of random claims, and the cases that the rules name."""
+    import itertools
+    import random
+
+    hour, day = 3_600_000_000, 86_400_000_000
+    rng = random.Random(5)
+    values = {"LOCATION": "abc", "EVENT": "ab", "AMOUNT": "123", "ROLE": "xy", "STATUS": ["open", "PENDING", "Closed", "PROSECUTED", "lost"], "RELATIONSHIP": ["knows:a", "owns:a", "knows:b"], "OTHER": "ab"}
+    rows = []
+    for _ in range(600):
+        d = rng.choice(list(values))
+        rows.append((rng.choice("st"), d, rng.choice([None, 0, hour - 1, hour, day, 2 * day]), rng.choice([*values[d], None]), rng.choice(["ADVERSE", "NEUTRAL", "OFFICIAL", "LEAD", None]) if d == "ROLE" else None, rng.choice([-1, 1]), rng.choice([1, 2, 3, 4, 5, None])))
+    family = {"OPEN": "ACTIVE", "PENDING": "ACTIVE", "CLOSED": "CONCLUDED", "PROSECUTED": "CHARGED"}
+    groups = {}
+    for s, d, m, v, c, p, doc in rows:
+        if v is None or doc is None or d == "OTHER" or d in ("AMOUNT", "STATUS") and m is None:
+            continue
+        class_ = {"ROLE": c if c in ("ADVERSE", "NEUTRAL", "OFFICIAL") else None, "STATUS": family.get(v.upper())}.get(d, v)
+        width = {"LOCATION": hour, "EVENT": hour, "AMOUNT": hour, "STATUS": day}.get(d)
+        if class_:
+            at = groups.setdefault((s, d, None if m is None or not width else m - m % width, v.split(":")[-1] if d == "RELATIONSHIP" else None), {})
+            at[class_, doc] = min(at.get((class_, doc), (9e18, 9)), (-1 if m is None else m, p))
+    want = {}
+    for g, at in groups.items():
+        n = sum(a[0] != b[0] and a[1] != b[1] and (g[1] != "RELATIONSHIP" or at[a][1] != at[b][1]) for a, b in itertools.combinations(at, 2))
+        if n:
+            want[g] = (n, len({a[0] for a in at}), len({a[1] for a in at}))
+    df = spark.createDataFrame(rows, "subject string, dimension string, micros long, value string, category string, polarity int, document long")
+    got = {(r.subject, r.dimension, r.bucket, r.target): (r.conflicts, r["values"], r.documents) for r in R.conflicts(df).collect()}
+    assert got == want and len({g[1] for g in got}) == 6
+    assert R.conflicts(df.limit(0)).count() == 0

@@ -18,6 +18,49 @@ def contradictions(claims: DataFrame, minutes: int = 60) -> DataFrame:
     return out.filter("n_values > 1 and documents > 1")
 
 
+#: Role classes of which a person has one only, and the families that statuses belong to.
+ROLE_CLASSES = ("ADVERSE", "NEUTRAL", "OFFICIAL")
+STATUS_FAMILIES = {
+    "OPEN": "ACTIVE", "PENDING": "ACTIVE", "UNDER_INVESTIGATION": "ACTIVE", "IN_PROGRESS": "ACTIVE", "ACTIVE": "ACTIVE", "UNRESOLVED": "ACTIVE",
+    "CLOSED": "CONCLUDED", "CONCLUDED": "CONCLUDED", "COMPLETED": "CONCLUDED", "DISPOSED": "CONCLUDED", "FINAL_REPORT_FILED": "CONCLUDED",
+    "CHARGES_FILED": "CHARGED", "CHARGE_SHEET_FILED": "CHARGED", "CHARGESHEET_FILED": "CHARGED", "PROSECUTED": "CHARGED",
+}
+CONFLICTS = {
+    "LOCATION": "LOCATION_CONFLICT", "EVENT": "EVENT_DESCRIPTION_CONFLICT", "AMOUNT": "AMOUNT_CONFLICT", "ROLE": "IDENTITY_ROLE_CONFLICT", "STATUS": "STATUS_CONFLICT",
+    "RELATIONSHIP": "RELATIONSHIP_CONFLICT",
+}
+
+
+def conflicts(claims: DataFrame, minutes: int = 60) -> DataFrame:
+    """(subject, dimension, bucket, target, type, conflicts, values, documents): how many pairs of claims of different documents contradict each other, by the rule of
+    their dimension. claims: subject, dimension, micros, value, category, polarity, document.
+
+    Places and events: any two values in one bucket of time (without a time: in one of their own). Amounts: the same, with times only. Roles: two classes that exclude
+    each other. Statuses: two families on one day, with times only. Relations (`kind:target`): different values with one target and different polarity. Other
+    dimensions have no rule. Of a document's claims of one class the first counts (by micros, nulls first, then polarity). Null documents and values take no part.
+
+    Pairs are counted and never made: of all pairs those alike in value, in document or in polarity are taken off by inclusion and exclusion, so a subject with many
+    claims costs a row for each of them."""
+    is_ = lambda *names: F.col("dimension").isin(*names)
+    width = F.when(is_("LOCATION", "EVENT"), F.lit(minutes)).when(is_("AMOUNT"), F.lit(60)).when(is_("STATUS"), F.lit(1440)).cast("long") * 60_000_000
+    families = F.create_map(*(F.lit(x) for pair in STATUS_FAMILIES.items() for x in pair))
+    class_ = F.when(is_("ROLE"), F.when(F.col("category").isin(*ROLE_CLASSES), F.col("category"))).when(is_("STATUS"), families[F.upper("value")]).otherwise(F.col("value"))
+    rows = claims.filter(is_(*CONFLICTS) & F.col("value").isNotNull() & F.col("document").isNotNull() & (~is_("AMOUNT", "STATUS") | F.col("micros").isNotNull()))
+    target = F.when(is_("RELATIONSHIP"), F.element_at(F.split("value", ":"), -1))
+    rows = rows.select("subject", "dimension", (F.col("micros") - F.pmod("micros", width)).alias("bucket"), target.alias("target"), class_.alias("class"), "document", "micros", F.coalesce("polarity", F.lit(0)).alias("polarity"))
+    group = ["subject", "dimension", "bucket", "target"]
+    points = rows.filter("class is not null").groupBy(*group, "class", "document").agg(F.min(F.struct("micros", "polarity")).getField("polarity").alias("polarity"))
+    alike = lambda sign, *by: F.struct(F.lit(sign).alias("sign"), *((F.col(c).cast("string") if c in by else F.lit(None).cast("string")).alias(f"by_{c}") for c in ("class", "document", "polarity")))
+    sets = [alike(1), alike(-1, "class"), alike(-1, "document")]
+    related = [alike(-1, "polarity"), alike(1, "class", "polarity"), alike(1, "document", "polarity")]
+    each = points.select(*group, F.inline(F.when(is_("RELATIONSHIP"), F.array(*sets, *related)).otherwise(F.array(*sets))))
+    n = each.groupBy(*group, "sign", "by_class", "by_document", "by_polarity").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda c: F.count_if(F.col(f"by_{c}").isNotNull() & (F.col("sign") == -1))
+    out = n.groupBy(*group).agg(F.sum(F.col("sign") * F.expr("n * (n - 1) div 2")).alias("conflicts"), of("class").alias("values"), of("document").alias("documents"))
+    kinds = F.create_map(*(F.lit(x) for pair in CONFLICTS.items() for x in pair))
+    return out.filter("conflicts > 0").select(*group, kinds[F.col("dimension")].alias("type"), "conflicts", "values", "documents")
+
+
 def identity(claims: DataFrame) -> DataFrame:
     """Claims with what they assert: `value` in lower case, of letters, digits and + only, with single spaces (null: empty; accents are kept), and whether it is `negated` (by a polarity below 0, if there is one)."""
     negated = F.coalesce(F.col("polarity") < 0, F.lit(False)) if "polarity" in claims.columns else F.lit(False)

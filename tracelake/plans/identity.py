@@ -1,4 +1,4 @@
-"""Queries on identities: proposals of aliases, and the contact network seen through a log of merges."""
+"""Queries on identities: proposals of aliases, the contact network seen through a log of merges, and records that contradict each other."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators import identity as I
 from tracelake.operators import merges as M
+from tracelake.operators import review as R
 from tracelake.plans.catalog import CALLS, query
 from tracelake.sources import calls, table
 
@@ -65,3 +66,32 @@ def merged_contacts(spark, d):
     """The contacts of each kind between the phones that stand for others."""
     per = calls(spark, d).select(F.col("event_type").alias("rel"), "src", "dst", F.lit(1).cast("long").alias("occurrences"))
     return M.rewire(per, roots(spark, d))
+
+
+@query(f"""WITH {CALLS}, claim AS (SELECT 'c' || o_custkey AS subject, 'STATUS' AS dimension, epoch_us(o_orderdate) AS micros, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'CLOSED' WHEN 'P' THEN 'charges_filed' END AS value, NULL AS category, 0 AS polarity, o_orderkey AS document FROM orders
+    UNION ALL SELECT 's' || l_suppkey, 'ROLE', NULL, l_shipdate::VARCHAR, CASE l_returnflag WHEN 'A' THEN 'ADVERSE' WHEN 'N' THEN 'NEUTRAL' WHEN 'R' THEN 'ASSOCIATE' END, 0, l_orderkey FROM lineitem
+    UNION ALL SELECT 'u' || src, 'LOCATION', micros, dst::VARCHAR, NULL, 0, evidence // 2 FROM calls UNION ALL SELECT 'u' || src, 'AMOUNT', CASE WHEN evidence % 9 > 0 THEN micros END, duration::INTEGER::VARCHAR, NULL, 0, evidence // 2 FROM calls
+    UNION ALL SELECT 'u' || src, 'RELATIONSHIP', micros, event_type || ':' || dst, NULL, CASE WHEN duration < 10 THEN -1 ELSE 1 END, evidence // 500 FROM calls UNION ALL SELECT 'u' || src, 'OTHER', micros, event_type, NULL, 0, evidence FROM calls),
+    one AS (SELECT *, CASE dimension WHEN 'STATUS' THEN micros - micros % 86400000000 WHEN 'LOCATION' THEN micros - micros % 3600000000 WHEN 'AMOUNT' THEN micros - micros % 3600000000 END AS bucket,
+        CASE WHEN dimension = 'RELATIONSHIP' THEN split_part(value, ':', 2) END AS target,
+        CASE dimension WHEN 'ROLE' THEN category WHEN 'STATUS' THEN CASE upper(value) WHEN 'OPEN' THEN 'ACTIVE' WHEN 'CLOSED' THEN 'CONCLUDED' ELSE 'CHARGED' END ELSE value END AS class FROM claim WHERE dimension <> 'OTHER' AND (dimension NOT IN ('AMOUNT', 'STATUS') OR micros IS NOT NULL)),
+    p AS MATERIALIZED (SELECT subject, dimension, bucket, target, class, document, polarity FROM one WHERE NOT (dimension = 'ROLE' AND (category IS NULL OR category = 'ASSOCIATE'))
+        QUALIFY row_number() OVER (PARTITION BY subject, dimension, bucket, target, class, document ORDER BY micros NULLS FIRST, polarity) = 1),
+    pairs AS (SELECT a.subject, a.dimension, a.bucket, a.target, count(*) AS conflicts FROM p a JOIN p b ON a.subject = b.subject AND a.dimension = b.dimension AND a.bucket IS NOT DISTINCT FROM b.bucket AND a.target IS NOT DISTINCT FROM b.target
+        AND a.document < b.document AND a.class <> b.class AND (a.dimension <> 'RELATIONSHIP' OR a.polarity <> b.polarity) GROUP BY ALL),
+    n AS (SELECT subject, dimension, bucket, target, count(DISTINCT class) AS values, count(DISTINCT document) AS documents FROM p GROUP BY ALL)
+    SELECT n.subject, n.dimension, n.bucket, n.target, CASE n.dimension WHEN 'ROLE' THEN 'IDENTITY_ROLE' ELSE n.dimension END || '_CONFLICT' AS type, conflicts, values, documents
+    FROM pairs JOIN n ON n.subject = pairs.subject AND n.dimension = pairs.dimension AND n.bucket IS NOT DISTINCT FROM pairs.bucket AND n.target IS NOT DISTINCT FROM pairs.target""")
+def claim_conflicts(spark, d):
+    """What orders, lines and events claim of customers, suppliers and users: contradictions by the rule of each dimension."""
+    c, o, li = calls(spark, d), table(spark, d, "orders"), table(spark, d, "lineitem")
+    none, text, at = F.lit(None).cast("string"), lambda x: F.col(x).cast("string"), F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    row = lambda df, subject, dimension, micros, value, category, polarity, document: df.select(subject.alias("subject"), F.lit(dimension).alias("dimension"), micros.cast("long").alias("micros"), value.alias("value"), category.alias("category"), polarity.alias("polarity"), document.cast("long").alias("document"))
+    status = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "CLOSED").when(F.col("o_orderstatus") == "P", "charges_filed")
+    flag, user, two = F.col("l_returnflag"), F.concat(F.lit("u"), text("src")), F.expr("evidence div 2")
+    role = F.when(flag == "A", "ADVERSE").when(flag == "N", "NEUTRAL").when(flag == "R", "ASSOCIATE")
+    claims = row(o, F.concat(F.lit("c"), text("o_custkey")), "STATUS", at, status, none, F.lit(0), F.col("o_orderkey"))
+    claims = claims.union(row(li, F.concat(F.lit("s"), text("l_suppkey")), "ROLE", F.lit(None), text("l_shipdate"), role, F.lit(0), F.col("l_orderkey")))
+    claims = claims.union(row(c, user, "LOCATION", F.col("micros"), text("dst"), none, F.lit(0), two)).union(row(c, user, "AMOUNT", F.when(F.col("evidence") % 9 > 0, F.col("micros")), F.rint("duration").cast("int").cast("string"), none, F.lit(0), two))
+    claims = claims.union(row(c, user, "RELATIONSHIP", F.col("micros"), F.concat_ws(":", "event_type", text("dst")), none, F.when(F.col("duration") < 10, -1).otherwise(1), F.expr("evidence div 500")))
+    return R.conflicts(claims.union(row(c, user, "OTHER", F.col("micros"), F.col("event_type"), none, F.lit(0), F.col("evidence"))))
