@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tracelake.plans import catalog, entities, identity, network  # noqa: F401  all register
+from tracelake.plans import catalog, entities, identity, network, retrieval  # noqa: F401  all register
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
