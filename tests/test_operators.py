@@ -52,6 +52,37 @@ def test_pagerank_adds_up_and_components(spark):
     assert {(r.node, r.component) for r in G.components(e).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
 
 
+def plain_pagerank(edges, turns=100, damping=0.85, tolerance=1e-6):
+    weight = {}
+    for a, b, w in edges:
+        if a is not None and b is not None:
+            weight[a, b] = weight.get((a, b), 0) + (w or 0)
+    nodes = {v for e in weight for v in e}
+    gives = {v: sum(w for (a, _), w in weight.items() if a == v) for v in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for turn in range(turns):
+        loose = sum(rank[v] for v in nodes if gives[v] <= 0) / len(nodes)
+        new = {v: (1 - damping) / len(nodes) + damping * loose + damping * sum(rank[a] * w / gives[a] for (a, b), w in weight.items() if b == v and gives[a] > 0) for v in nodes}
+        moved, rank = sum(abs(new[v] - rank[v]) for v in nodes), new
+        if moved < tolerance * len(nodes):
+            break
+    return turn, {v: r / sum(rank.values()) for v, r in rank.items()}
+
+
+def test_pagerank_like_a_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = [(rng.randrange(24), rng.choice([0, rng.randrange(30)]), rng.choice([0.01, 0.5, 1.0, 0.0, None])) for _ in range(120)] + [(40, 41, 0.0), (42, 42, 1.0), (None, 1, 1.0), (1, None, 1.0)]
+    df = spark.createDataFrame(edges, "src long, dst long, weight double")
+    turn, want = plain_pagerank(edges)
+    got = {r.node: r["rank"] for r in G.pagerank(df).collect()}
+    assert 3 < turn < 99 and got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-12 for v in want)
+    _, short = plain_pagerank(edges, 2)
+    assert all(abs(r["rank"] - short[r.node]) < 1e-12 for r in G.pagerank(df, 2).collect())
+    assert G.pagerank(df.limit(0)).count() == 0
+
+
 def test_chain_flags_the_edited_row_only(spark):
     z = "0" * 64
     rows = spark.createDataFrame([("c", 1, z, "a", "a"), ("c", 2, "a", "x", "b"), ("c", 3, "x", "c", "c")], "chain string, n int, prev string, own string, want string")

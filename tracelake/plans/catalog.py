@@ -146,8 +146,17 @@ def components(spark, d):
     return G.components(p)
 
 
-@query()
+#: A hundred turns, each as the one before once all ranks together have moved by less than 1e-6 for each node.
+TURNS = ",\n    ".join(f"""r{k} AS MATERIALIZED (SELECT node, r, done OR sum(abs(r - old)) OVER () < 1e-6 * count(*) OVER () AS done FROM (SELECT p.node, p.done, p.r AS old,
+        CASE WHEN p.done THEN p.r ELSE 0.15 / count(*) OVER () + 0.85 * coalesce(g.r, 0) END AS r FROM r{k - 1} p LEFT JOIN (SELECT dst AS node, sum(r * share) AS r FROM r{k - 1} JOIN s ON s.src = node GROUP BY dst) g USING (node)))""" for k in range(1, 101))
+
+
+@query(f"""WITH {TX}, one AS (SELECT DISTINCT 'P' || src AS src, 'O' || dst AS dst FROM tx), e AS (SELECT * FROM one UNION ALL SELECT dst, src FROM one),
+    s AS MATERIALIZED (SELECT src, dst, 1 / count(*) OVER (PARTITION BY src) AS share FROM e), r0 AS MATERIALIZED (SELECT src AS node, 1 / count(*) OVER () AS r, false AS done FROM e GROUP BY src),
+    {TURNS}
+    SELECT node, round(r / sum(r) OVER (), 8) AS rank FROM r100""")
 def pagerank(spark, d):
+    """Persons and organisations by the transfers between them, either way."""
     edges = _bipartite(spark, d).groupBy("src", "dst").agg(F.lit(1.0).alias("weight"))
     return G.pagerank(edges.union(edges.select("dst", "src", "weight"))).select("node", F.round("rank", 8).alias("rank"))
 
