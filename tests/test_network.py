@@ -114,6 +114,24 @@ def test_bridging_paths(spark):
     assert any(len(x[3]) > 2 for g in got.values() for x in g.values())
 
 
+def test_bridging_paths_keep_no_row_per_root_and_node(spark):
+    """Every node is a root: the lists that travel hold a few communities a node, not all nodes reached."""
+    r = random.Random(14)
+    edges = random_edges(r, 40, 90, (0.1, 0.25, 0.5, 1.0))
+    nodes = sorted({x for e in edges for x in e[:2]})
+    community = {v: v % 9 for v in nodes}
+    links = links_of(edges, lambda x: (10**12 + x // 2) // x)
+    both = spark.createDataFrame([(a, b, x) for a, to in links.items() for b, x in to.items()], "node long, to long, length long")
+    got = C.nearest_communities(both, spark.createDataFrame(list(community.items()), "node long, community long"), 3).collect()
+    assert len(got) <= 3 * len(nodes)
+    for v in nodes:
+        d = dijkstra(links, v)[0]
+        first = {}
+        for u in sorted(d, key=lambda u: (d[u], u)):
+            first.setdefault(community[u], (d[u], u))
+        assert sorted((x.d, x.target) for x in got if x.node == v) == sorted(first.values())[:3]
+
+
 def plain_modularity(edges, label):
     links = links_of(edges, lambda x: x)
     whole = sum(sum(x.values()) for x in links.values())
