@@ -135,3 +135,20 @@ def test_cosine_answers_every_query(spark):
     c = np.round(u @ u.T, 9)
     want = {q: sorted((-c[q, i], i) for i in range(200) if i != q and c[q, i] >= 0.05)[:8] for q in (0, 50, 100, 150)}
     assert got == [(q, k, i) for q, best in want.items() for k, (_, i) in enumerate(best, 1)]
+
+
+def test_temporal_path_counts(spark):
+    """Ways that meet in blocks and by the join are the paths made one by one, many times over the same links."""
+    import random
+
+    r = random.Random(21)
+    rows = [(r.randrange(9), r.randrange(9), r.randrange(30)) for _ in range(220)] + [(3, 4, 5)] * 6 + [(None, 4, 1), (3, None, 1)]
+    e = spark.createDataFrame(rows, "src long, dst long, at long")
+    want = {}
+    for x in G.temporal_paths_between(e, 1, 2).collect():
+        n, first = want.get(tuple(x.path), (0, 1 << 60))
+        want[tuple(x.path)] = n + 1, min(first, x.start)
+    for crowd, block in ((0, 3), (0, 1024), (40, 5), (1 << 20, 1024)):
+        got = [((1, *(v for v in (x.a, x.b, x.c) if v is not None), 2), (x.times, x["first"])) for x in G.temporal_path_counts(e, 1, 2, crowd, block).collect()]
+        assert len(got) == len(dict(got)) and dict(got) == want
+    assert {len(p) for p in want} == {2, 3, 4, 5}
