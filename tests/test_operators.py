@@ -152,3 +152,29 @@ def test_temporal_path_counts(spark):
         got = [((1, *(v for v in (x.a, x.b, x.c) if v is not None), 2), (x.times, x["first"])) for x in G.temporal_path_counts(e, 1, 2, crowd, block).collect()]
         assert len(got) == len(dict(got)) and dict(got) == want
     assert {len(p) for p in want} == {2, 3, 4, 5}
+
+
+def test_components_broadcast_nothing(spark, monkeypatch):
+    """No table of nodes goes through the driver, however small its files are."""
+    plans = []
+    real = G.cut
+    monkeypatch.setattr(G, "cut", lambda df, *spent: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, *spent))[1])
+    got = {r.node: r.component for r in G.components(spark.createDataFrame([(i, i + 1) for i in range(9)] + [(20, 21)], "src long, dst long")).collect()}
+    assert got == {i: 0 for i in range(10)} | {20: 20, 21: 20}
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p or "BroadcastExchange" in p for p in plans)
+
+
+def test_transfers_are_dealt_over_more_tasks(spark, monkeypatch):
+    """What a task holds is bounded by rows, not by the session's number of shuffle partitions; results stay."""
+    from tracelake import sources
+
+    d = "/root/testdata/sf0.001"
+    names = ("transfer_pairs", "repeated_combination", "use_vs_ownership", "suppressed_hubs")
+    get = lambda name: catalog.QUERIES[name](spark, d)
+    before = {name: sorted(map(tuple, get(name).collect())) for name in names}
+    monkeypatch.setattr(sources, "TASK_ROWS", 500)
+    for name in names:
+        assert sorted(map(tuple, get(name).collect())) == before[name]
+        assert "REPARTITION_BY_NUM" in get(name)._jdf.queryExecution().executedPlan().toString()
+    held = get("transfer_pairs").rdd.glom().map(lambda rows: sum(r.n for r in rows)).collect()
+    assert len(held) == 12 and max(held) < 1500
