@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.sources import dealt
+
 
 def contradictions(claims: DataFrame, minutes: int = 60) -> DataFrame:
     """Per subject, dimension and bucket of time: the values and records of claims that can't hold together. claims: subject, dimension,
@@ -31,7 +33,7 @@ CONFLICTS = {
 }
 
 
-def conflicts(claims: DataFrame, minutes: int = 60) -> DataFrame:
+def conflicts(claims: DataFrame, minutes: int = 60, about: int = 0) -> DataFrame:
     """(subject, dimension, bucket, target, type, conflicts, values, documents): how many pairs of claims of different documents contradict each other, by the rule of
     their dimension. claims: subject, dimension, micros, value, category, polarity, document.
 
@@ -40,7 +42,7 @@ def conflicts(claims: DataFrame, minutes: int = 60) -> DataFrame:
     dimensions have no rule. Of a document's claims of one class the first counts (by micros, nulls first, then polarity). Null documents and values take no part.
 
     Pairs are counted and never made: of all pairs those alike in value, in document or in polarity are taken off by inclusion and exclusion, so a subject with many
-    claims costs a row for each of them."""
+    claims costs a row for each of them. `about`: how many claims there are; many are dealt over as many tasks as they need."""
     is_ = lambda *names: F.col("dimension").isin(*names)
     width = F.when(is_("LOCATION", "EVENT"), F.lit(minutes)).when(is_("AMOUNT"), F.lit(60)).when(is_("STATUS"), F.lit(1440)).cast("long") * 60_000_000
     families = F.create_map(*(F.lit(x) for pair in STATUS_FAMILIES.items() for x in pair))
@@ -49,12 +51,13 @@ def conflicts(claims: DataFrame, minutes: int = 60) -> DataFrame:
     target = F.when(is_("RELATIONSHIP"), F.element_at(F.split("value", ":"), -1))
     rows = rows.select("subject", "dimension", (F.col("micros") - F.pmod("micros", width)).alias("bucket"), target.alias("target"), class_.alias("class"), "document", "micros", F.coalesce("polarity", F.lit(0)).alias("polarity"))
     group = ["subject", "dimension", "bucket", "target"]
-    points = rows.filter("class is not null").groupBy(*group, "class", "document").agg(F.min(F.struct("micros", "polarity")).getField("polarity").alias("polarity"))
+    points = dealt(rows.filter("class is not null"), about, *group, "class", "document").groupBy(*group, "class", "document").agg(F.min(F.struct("micros", "polarity")).getField("polarity").alias("polarity"))
     alike = lambda sign, *by: F.struct(F.lit(sign).alias("sign"), *((F.col(c).cast("string") if c in by else F.lit(None).cast("string")).alias(f"by_{c}") for c in ("class", "document", "polarity")))
     sets = [alike(1), alike(-1, "class"), alike(-1, "document")]
     related = [alike(-1, "polarity"), alike(1, "class", "polarity"), alike(1, "document", "polarity")]
     each = points.select(*group, F.inline(F.when(is_("RELATIONSHIP"), F.array(*sets, *related)).otherwise(F.array(*sets))))
-    n = each.groupBy(*group, "sign", "by_class", "by_document", "by_polarity").agg(F.count(F.lit(1)).alias("n"))
+    alike_by = ["sign", "by_class", "by_document", "by_polarity"]
+    n = dealt(each, 3 * about, *group, *alike_by).groupBy(*group, *alike_by).agg(F.count(F.lit(1)).alias("n"))
     of = lambda c: F.count_if(F.col(f"by_{c}").isNotNull() & (F.col("sign") == -1))
     out = n.groupBy(*group).agg(F.sum(F.col("sign") * F.expr("n * (n - 1) div 2")).alias("conflicts"), of("class").alias("values"), of("document").alias("documents"))
     kinds = F.create_map(*(F.lit(x) for pair in CONFLICTS.items() for x in pair))

@@ -94,4 +94,5 @@ def claim_conflicts(spark, d):
     claims = claims.union(row(li, F.concat(F.lit("s"), text("l_suppkey")), "ROLE", F.lit(None), text("l_shipdate"), role, F.lit(0), F.col("l_orderkey")))
     claims = claims.union(row(c, user, "LOCATION", F.col("micros"), text("dst"), none, F.lit(0), two)).union(row(c, user, "AMOUNT", F.when(F.col("evidence") % 9 > 0, F.col("micros")), F.rint("duration").cast("int").cast("string"), none, F.lit(0), two))
     claims = claims.union(row(c, user, "RELATIONSHIP", F.col("micros"), F.concat_ws(":", "event_type", text("dst")), none, F.when(F.col("duration") < 10, -1).otherwise(1), F.expr("evidence div 500")))
-    return R.conflicts(claims.union(row(c, user, "OTHER", F.col("micros"), F.col("event_type"), none, F.lit(0), F.col("evidence"))))
+    about = o.count() + li.count() + 3 * table(spark, d, "events").count()
+    return R.conflicts(claims.union(row(c, user, "OTHER", F.col("micros"), F.col("event_type"), none, F.lit(0), F.col("evidence"))), about=about)
