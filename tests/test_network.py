@@ -82,6 +82,31 @@ def test_betweenness_of_sampled_sources(spark):
     assert got == pytest.approx(plain_betweenness(edges, sources))
 
 
+def test_betweenness_keeps_no_row_per_source_and_node(spark, monkeypatch):
+    """Over many blocks, with a node of many links in several, and names as nodes: no written table has more rows than links."""
+    r = random.Random(2)
+    edges = random_edges(r, 36, 70) + [(0, v, r.choice((0.2, 0.4))) for v in range(1, 36)]
+    want = plain_betweenness(edges)
+    frame = spark.createDataFrame([(f"n{a:02}", f"n{b:02}", w) for a, b, w in edges], "src string, dst string, weight double")
+    sizes, kept, cut, dealt = [], [], C.cut, C.dealt_links
+
+    def counted(df, *spent):
+        out = cut(df, *spent)
+        sizes.append(out.count())
+        return out
+
+    def in_small_blocks(both, width):
+        out = dealt(both, width, rows=32)
+        kept.extend(x.places for x in out[1].collect())
+        return out
+
+    monkeypatch.setattr(C, "cut", counted)
+    monkeypatch.setattr(C, "dealt_links", in_small_blocks)
+    got = {x.node: x.betweenness for x in C.betweenness(frame).collect()}
+    assert got == pytest.approx({f"n{v:02}": x for v, x in want.items()})
+    assert max(map(len, kept)) > 3 and max(sizes) <= C.undirected(frame).count()
+
+
 def test_betweenness_of_little(spark):
     one = lambda rows: {r.node: r.betweenness for r in C.betweenness(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert one([]) == {} and one([(1, 2, 0.5)]) == {1: 0, 2: 0} and one([(None, 2, 0.5)]) == {2: 0}
