@@ -193,6 +193,24 @@ def test_louvain_never_falls(spark):
     assert M.louvain(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_louvain_goes_over_links_once_a_partition(spark, monkeypatch):
+    """Links dealt over many blocks make the same communities, and a round joins no row per link."""
+    r = random.Random(12)
+    edges = [(a, b, r.choice((0.2, 1.0))) for a in range(40) for b in range(a) if (a // 10 == b // 10 and r.random() < 0.7) or r.random() < 0.05] + [(0, v, 0.1) for v in range(1, 40)]
+    frame = spark.createDataFrame(edges, SCHEMA)
+    want = {x.node: x.community for x in M.louvain(frame).collect()}
+    links = M.undirected(frame)
+    labels = spark.createDataFrame([(v, c) for v, c in want.items()], "node long, community long")
+    plain = {(x.node, x.community): x.linked for x in M.linked_to(links, labels).collect()}
+    dealt, homes = C.dealt_links(links.withColumnRenamed("weight", "length"), 1, rows=40)
+    assert dealt.count() > 4 and homes.filter("size(places) > 4").count() > 0
+    assert {(x.node, x.community): x.linked for x in M.linked_in_blocks(dealt, homes, labels).collect()} == plain
+    monkeypatch.setattr(M, "FEW", 0)
+    monkeypatch.setattr(M, "dealt_links", lambda links, width: C.dealt_links(links, width, rows=64))
+    monkeypatch.setattr(M, "linked_to", None)
+    assert {x.node: x.community for x in M.louvain(frame).collect()} == want
+
+
 def test_disjoint_moves_gain_what_they_promise(spark):
     r = random.Random(9)
     edges = [(a, b, 1.0) for a in range(20) for b in range(a) if r.random() < 0.2]
