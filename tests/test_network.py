@@ -224,6 +224,20 @@ def test_disjoint_moves_gain_what_they_promise(spark):
     assert after - before == pytest.approx(sum(x.gain for x in moves) * 2 / whole)
 
 
+def test_pagerank_makes_its_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = [(a, b, 1.0) for a, b in ((1, 2), (2, 3), (3, 1), (4, 1), (5, 5), (2, 1))]
+    edges = spark.createDataFrame(rows, SCHEMA).mapInArrow(count, SCHEMA)
+    got = {x.node: x["rank"] for x in G.pagerank(edges).collect()}
+    assert made.value == len(rows) and sum(got.values()) == pytest.approx(1) and set(got) == {1, 2, 3, 4, 5}
+
+
 def test_rules_on_centrality(spark):
     scores = spark.createDataFrame([(i, i / 100) for i in range(40)], "node long, betweenness double")
     communities = spark.createDataFrame([(i, i % 4) for i in range(40)], "node long, community long")
