@@ -9,6 +9,7 @@ import pytest
 from tracelake.operators import centrality as C
 from tracelake.operators import community as M
 from tracelake.operators import graph as G
+from tracelake.plans import network as N
 
 SCHEMA = "src long, dst long, weight double"
 
@@ -247,3 +248,10 @@ def test_rules_on_centrality(spark):
     assert sorted(x.node for x in C.connectors(scores, degree).collect()) == [37, 38]
     ranks = G.pagerank(near.select(M.F.col("node").alias("src"), M.F.col("other").alias("dst"), M.F.lit(1.0).alias("weight")))
     assert [x.node for x in C.hubs(scores, ranks, 3).orderBy("place").collect()] == [39, 38, 37]
+
+
+def test_hub_findings_make_the_contacts_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(N, "contacts", lambda s, d, f=N.contacts: made.append(f(s, d)) or made[-1])
+    got = N.hub_findings(spark, "/root/testdata/sf0.001").collect()
+    assert len(made) == 1 and [r.place for r in sorted(got, key=lambda r: (-r.betweenness, -r["rank"], r.node))] == list(range(1, len(got) + 1)) and got
