@@ -67,6 +67,22 @@ def test_no_pair_is_lost(spark):
     assert I.alias_candidates(df.limit(0), df).count() == 0 and I.alias_candidates(df, df.limit(0)).count() == 0
 
 
+def test_only_contained_words_make_pairs(spark):
+    """Keys that share their rarest word but aren't in each other are no pair."""
+    keys = spark.createDataFrame([("x", k, k.split()) for k in ("tin ring large", "tin bolt large", "tin ring", "ring tin tin", "hot ring large tin")] + [("y", "tin", ["tin"])], "case_id string, key string, words array<string>")
+    got = {tuple(r) for r in I.contained_pairs(keys).collect()}
+    rows = [k.split() for k in ("tin ring large", "tin bolt large", "tin ring", "ring tin tin", "hot ring large tin")]
+    assert got == {("x", " ".join(min(a, b)), " ".join(max(a, b))) for a in rows for b in rows if a != b and set(a) <= set(b)} and len(got) == 6
+
+
+def test_names_on_both_sides_are_made_once(spark, monkeypatch):
+    written, cut = [], I.cut
+    monkeypatch.setattr(I, "cut", lambda *a: written.append(a[0].columns) or cut(*a))
+    df = spark.createDataFrame(people(40, 5), "case_id string, person long, name string, alias boolean")
+    got = {r.person: (r.target, r.score, r.basis) for r in I.alias_candidates(df, df).collect()}
+    assert got == brute(people(40, 5)) and sum("person" in c for c in written) == 1
+
+
 NODES = [(i, "PERSON", f"n{i}") for i in range(12)] + [(50, "PLACE", "n50")]
 EDGES = [("CALL", 1, 2, 3), ("CALL", 3, 2, 4), ("CALL", 1, 3, 5), ("CALL", 4, 4, 1), ("OWNS", 3, 2, 1), ("CALL", 5, 6, 2), (None, 7, 8, 1)]
 

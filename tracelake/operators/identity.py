@@ -32,11 +32,12 @@ def prefix_pairs(sets: DataFrame, least: float) -> DataFrame:
 
 
 def contained_pairs(keys: DataFrame) -> DataFrame:
-    """(case_id, key, other): pairs of which one's words may all be in the other, which then has the rarest of them. keys: case_id, key, words."""
-    each = keys.select("case_id", "key", F.explode(F.array_distinct("words")).alias("word"))
+    """(case_id, key, other): pairs of which one's words are all in the other, which then has the rarest of them. keys: case_id, key, words."""
+    each = keys.withColumn("words", F.array_distinct("words")).select("case_id", "key", "words", F.explode("words").alias("word"))
     counts = each.groupBy("case_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    rarest = each.join(counts, ["case_id", "word"]).groupBy("case_id", "key").agg(F.min(F.struct("n", "word")).alias("w")).select("case_id", F.col("key").alias("other"), F.col("w.word").alias("word"))
-    return each.join(rarest, ["case_id", "word"]).filter("key <> other").select("case_id", F.least("key", "other").alias("key"), F.greatest("key", "other").alias("other"))
+    rarest = each.join(counts, ["case_id", "word"]).groupBy("case_id", "key").agg(F.min(F.struct("n", "word", "words")).alias("w")).select("case_id", F.col("key").alias("other"), F.col("w.word").alias("word"), F.col("w.words").alias("all"))
+    inside = (F.size("all") <= F.size("words")) & (F.size(F.array_except("all", "words")) == 0)  # before the pairs are dealt
+    return each.join(rarest, ["case_id", "word"]).filter(inside & (F.col("key") != F.col("other"))).select("case_id", F.least("key", "other").alias("key"), F.greatest("key", "other").alias("other"))
 
 
 def equal_pairs(keys: DataFrame, by: str) -> DataFrame:
@@ -81,7 +82,9 @@ def alias_candidates(new: DataFrame, existing: DataFrame, rejected: DataFrame |
     the person itself. Only where a class holds targets that were rejected for a person is it looked through for that person. Null persons and blank or null names take no
     part; a null case is a case of its own. Repeated rows count once."""
     ready = lambda df: df.filter("person is not null and trim(name) <> ''").select(F.coalesce(F.col("case_id").cast("string"), F.lit("\0")).alias("case_id"), "person", S.fuzzy_key(F.col("name")).alias("key"), F.coalesce("alias", F.lit(False)).alias("alias")).distinct()
-    new, existing = cut(ready(new)), cut(ready(existing))
+    same = new is existing
+    new = cut(ready(new))
+    existing = new if same else cut(ready(existing))
     group = ["case_id", "key", "alias"]
     mine = new.select(*group).distinct().withColumn("mine", F.lit(True))
     first = existing.groupBy(*group).agg(F.min("person").alias("first"))
