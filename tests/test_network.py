@@ -255,3 +255,53 @@ def test_hub_findings_make_the_contacts_once(spark, monkeypatch):
     monkeypatch.setattr(N, "contacts", lambda s, d, f=N.contacts: made.append(f(s, d)) or made[-1])
     got = N.hub_findings(spark, "/root/testdata/sf0.001").collect()
     assert len(made) == 1 and [r.place for r in sorted(got, key=lambda r: (-r.betweenness, -r["rank"], r.node))] == list(range(1, len(got) + 1)) and got
+
+
+def test_betweenness_of_many_nodes_takes_all_sources(spark):
+    """Beyond 1,200 nodes no source is left out: two stars, joined, whose leaves differ or are alike."""
+    m = 640
+    edges = [(c, 10 * i + c, (0.5 if c == 1 else (i % 90 + 10) / 100)) for c in (1, 2) for i in range(1, m + 1)] + [(1, 2, 1.0)]
+    got = {r.node: r.betweenness for r in C.betweenness(spark.createDataFrame(edges, SCHEMA)).collect()}
+    n = 2 * m + 2
+    want = (m * (m - 1) + 2 * m * (m + 1)) / ((n - 1) * (n - 2))
+    assert len(got) == n > 1200 and got[1] == pytest.approx(want) and got[2] == pytest.approx(want)
+    assert all(x == 0 for v, x in got.items() if v > 2)
+
+
+def test_betweenness_of_nodes_alike(spark):
+    """Nodes with the same links are one row each way, also as ends of paths between two of them, in one block of sources and in many."""
+    r = random.Random(31)
+    edges = [(v, r.randrange(6), r.choice((0.2, 0.4))) for v in range(10, 22) for _ in range(3)] + [(0, 1, 0.2), (2, 3, 0.4)]
+    edges += [(v + 100 * c, k, w) for c in (1, 2, 3) for v, k, w in edges if 10 <= v < 17] + [(50, 51, 0.2), (50, 52, 0.2), (60, 60, 1.0)]
+    frame = spark.createDataFrame(edges, SCHEMA)
+    both = C.undirected(frame).withColumnRenamed("weight", "length")
+    links = links_of(edges, lambda x: x)
+    groups = defaultdict(list)
+    for v in links:
+        groups[tuple(sorted(links[v].items()))].append(v)
+    assert {(x.node, x.of, x.size) for x in C.alike(both).collect()} == {(v, min(g), len(g)) for g in groups.values() for v in g}
+    assert sum(len(g) >= 4 for g in groups.values()) >= 5
+    want = plain_betweenness(edges)
+    for block in (600, 7):
+        assert {x.node: x.betweenness for x in C.betweenness(frame, block=block).collect()} == pytest.approx(want)
+
+
+@pytest.fixture(scope="module")
+def stars(spark, tmp_path_factory):
+    """Calls of 1,264 phones, more than there were sources: 1, 2 and 3 with 300, 420 and 540 others each, and 0 between them; the share of paths through these four."""
+    calls, ends, sizes = [(0, c) for c in (1, 2, 3) for _ in range(9)], 10, {1: 300, 2: 420, 3: 540}
+    for c, m in sizes.items():
+        calls += [(v, c) for v in range(ends, ends + m)]
+        ends += m
+    d = str(tmp_path_factory.mktemp("stars"))
+    rows = [(i, v, f'{{"k": {k}}}', "signup", 1.0) for i, (v, k) in enumerate(calls)]
+    spark.createDataFrame(rows, "event_id long, user_id long, props string, event_type string, value double").withColumn("ts", M.F.lit("2024-01-01").cast("timestamp_ntz")).write.parquet(f"{d}/events.parquet")
+    n = sum(sizes.values()) + 4
+    branches = {0: [m + 1 for m in sizes.values()]} | {c: [n - 1 - m, *[1] * m] for c, m in sizes.items()}
+    return d, {v: round(((n - 1) ** 2 - sum(x * x for x in b)) / ((n - 1) * (n - 2)), 9) for v, b in branches.items()}
+
+
+def test_connectors_of_many_phones(spark, stars):
+    d, want = stars
+    got = {x.node: x.betweenness for x in N.connectors(spark, d).collect()}
+    assert got == {v: x for v, x in want.items() if x >= max(want.values()) / 2} and len(got) > 2
