@@ -305,3 +305,8 @@ def test_connectors_of_many_phones(spark, stars):
     d, want = stars
     got = {x.node: x.betweenness for x in N.connectors(spark, d).collect()}
     assert got == {v: x for v, x in want.items() if x >= max(want.values()) / 2} and len(got) > 2
+
+
+def test_hub_findings_of_many_phones(spark, stars):
+    d, want = stars
+    assert {x.node: x.betweenness for x in N.hub_findings(spark, d).collect()} == want
