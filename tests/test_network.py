@@ -310,3 +310,8 @@ def test_connectors_of_many_phones(spark, stars):
 def test_hub_findings_of_many_phones(spark, stars):
     d, want = stars
     assert {x.node: x.betweenness for x in N.hub_findings(spark, d).collect()} == want
+
+
+def test_network_bridges_of_many_phones(spark, stars):
+    d, want = stars
+    assert {x.node: (x.betweenness, x.touched) for x in N.network_bridges(spark, d).collect()} == {0: (want[0], 2)}
