@@ -154,6 +154,21 @@ def test_temporal_path_counts(spark):
     assert {len(p) for p in want} == {2, 3, 4, 5}
 
 
+def test_temporal_path_counts_send_no_way_once_per_block(spark, monkeypatch):
+    """In crowded middle nodes a block of ways is one row, and ways that meet are read, not shuffled."""
+    rows = [(u, v, t) for t in range(12) for u, v in ((1, 3 + t % 4), (3 + t % 4, 20), (20, 30 + t % 3), (30 + t % 3, 2))]
+    e = spark.createDataFrame(rows, "src long, dst long, at long")
+    plans, sizes, met = [], [], G.B.met
+    monkeypatch.setattr(G.B, "met", lambda x, y, *a: plans.append((out := met(x, y, *a))._jdf.queryExecution().executedPlan().toString()) or sizes.extend((x.count(), y.count())) or out)
+    got = {(x.a, x.b, x.c): x.times for x in G.temporal_path_counts(e, 1, 2, crowd=0, block=2).collect() if x.c is not None}
+    want = {}
+    for x in G.temporal_paths_between(e, 1, 2).collect():
+        if len(x.path) == 5:
+            want[tuple(x.path[1:4])] = want.get(tuple(x.path[1:4]), 0) + 1
+    assert got == want and len(want) >= 12
+    assert len(plans) == 1 and "Exchange" not in plans[0] and max(sizes) < 40
+
+
 def test_components_broadcast_nothing(spark, monkeypatch):
     """No table of nodes goes through the driver, however small its files are."""
     plans = []
